@@ -73,7 +73,17 @@ def latin_ratio(col: Column) -> Column:
 
 
 def is_english(col: Column) -> Column:
-    return F.coalesce(latin_ratio(col) >= 0.5, F.lit(False))
+    """Whether at least half of the letters are a-z; false for a text without letters.
+
+    Other letters are counted first: plain English text has none, and one scan settles it.
+    """
+    others = F.regexp_count(col, F.lit("[\\x80-\\x{10ffff}&&[\\p{L}&&[^\\u212a\\u0130]]]"))
+    latin = F.length(F.regexp_replace(col, "[^A-Za-z\\u212a\\u0130]+", ""))
+    verdict = lit_let(
+        others,
+        lambda n: F.when(n == 0, F.rlike(col, F.lit("[A-Za-z\\u212a\\u0130]"))).otherwise(latin >= n),
+    )
+    return F.coalesce(verdict, F.lit(False))
 
 
 def escape_literal(text: str) -> str:

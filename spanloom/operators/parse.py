@@ -118,10 +118,10 @@ def _run_starts(numbers: Column) -> Column:
 def _block_segments(block: Column, budget: float) -> Column:
     """A block as atomic segments: itself, or groups of its sentences when over budget."""
 
-    def segment(text: Column, start: Column, end: Column) -> Column:
+    def segment(text: Column, start: Column, end: Column, tokens: Column) -> Column:
         return F.struct(
             start.alias("char_start"), end.alias("char_end"), block["kind"].alias("kind"),
-            block["block_idx"].alias("block_idx"), text.alias("text"), T.token_estimate(text).alias("tokens"),
+            block["block_idx"].alias("block_idx"), text.alias("text"), tokens.alias("tokens"),
         )
 
     def grouped(sents: Column) -> Column:
@@ -144,18 +144,21 @@ def _block_segments(block: Column, budget: float) -> Column:
             def one(s: Column, i: Column) -> Column:
                 last = F.coalesce(F.get(starts, i + 1) - 1, F.size(sents) - 1)
                 a, b = F.get(sents, s)["char_start"], F.get(sents, last)["char_end"]
-                return segment(
-                    F.substring(block["text"], a + 1, b - a), block["char_start"] + a, block["char_start"] + b
+                return lit_let(
+                    F.substring(block["text"], a + 1, b - a),
+                    lambda t: segment(t, block["char_start"] + a, block["char_start"] + b, T.token_estimate(t)),
                 )
 
             return F.transform(starts, one)
 
         return lit_let(lit_let(numbers, _run_starts), cut)
 
-    return F.when(
-        T.token_estimate(block["text"]) <= budget,
-        F.array(segment(block["text"], block["char_start"], block["char_end"])),
-    ).otherwise(lit_let(sentence_spans(block["text"]), grouped))
+    return lit_let(
+        T.token_estimate(block["text"]),
+        lambda tokens: F.when(
+            tokens <= budget, F.array(segment(block["text"], block["char_start"], block["char_end"], tokens))
+        ).otherwise(lit_let(sentence_spans(block["text"]), grouped)),
+    )
 
 
 def segment_array(blocks: Column, window_tokens: int) -> Column:
