@@ -82,11 +82,11 @@ def legacy_entries(rows: DataFrame, source: str, keep: Sequence[str] = ()) -> Da
 
 
 def _json_strings(col: Column) -> Column:
-    """A JSON value that may be an object (its keys), a list or a plain string, as an array."""
+    """A field that holds a JSON object (its keys count), a JSON list or a plain string, as an array."""
     text = strip(col)
     as_map = F.map_keys(F.from_json(text, "map<string,string>"))
     as_list = F.from_json(text, "array<string>")
-    as_one = F.array(F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v"))
+    as_one = F.array(text)
     return (
         F.when(text.isNull() | (text == "null"), F.array().cast("array<string>"))
         .when(F.startswith(text, F.lit("{")), as_map)
@@ -98,8 +98,8 @@ def _json_strings(col: Column) -> Column:
 def rule_entries(rules: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One rule to one entry per term.
 
-    ``inconsiderate`` and ``considerate`` are JSON text: an object (its keys count), a string
-    or a list. ``rules`` also has note, nested_source, condition, category and source_tag.
+    ``inconsiderate`` and ``considerate`` are a JSON object (its keys count), a JSON list or a
+    plain string. ``rules`` also has note, nested_source, condition, category and source_tag.
     Terms with a ``*`` wildcard cannot be matched literally and are dropped.
     """
     note = F.coalesce("note", F.lit(""))
