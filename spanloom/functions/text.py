@@ -92,7 +92,7 @@ def escape_literal(text: str) -> str:
 
 
 def escape_column(col: Column) -> Column:
-    return F.regexp_replace(col, "([\\x21-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7e])", "\\\\\\\\$1")
+    return F.regexp_replace(col, "([\\x21-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7e])", "\\\\$1")
 
 
 def word_boundaries(term: str) -> tuple[str, str]:

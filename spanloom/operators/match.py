@@ -84,17 +84,18 @@ def _with_entries(hits: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def lexicon_lookup(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Per chunk and per term: every term is searched on its own, so matches may overlap."""
-    found = [
-        F.transform(
-            match_spans(F.col("text"), word_regex(t)),
-            lambda s, t=t: F.struct(F.lit(t).alias("term"), s["char_start"].alias("s"), s["char_end"].alias("e")),
+    terms = lexicon_terms(lexicon, max_terms=5_000)
+
+    def spans_of(term: str) -> Column:
+        return F.transform(
+            match_spans(F.col("text"), word_regex(term)),
+            lambda s: F.struct(F.lit(term).alias("term"), s["char_start"].alias("s"), s["char_end"].alias("e")),
         )
-        for t in lexicon_terms(lexicon, max_terms=5_000)
-    ]
+
     # One cheap pass with the shared pattern drops the chunks that hold no term at all.
-    any_term = "|".join(escape_literal(t) for t in lexicon_terms(lexicon, max_terms=5_000))
+    any_term = "|".join(escape_literal(t) for t in terms)
     hits = chunks.filter(F.rlike("text", F.lit(f"(?iu){any_term}"))).select(
-        "doc_id", "chunk_idx", "chunk_id", F.col("char_start").alias("__at"), F.explode(F.flatten(F.array(*found))).alias("h")
+        "doc_id", "chunk_idx", "chunk_id", F.col("char_start").alias("__at"), F.explode(F.flatten(F.array(*[spans_of(t) for t in terms]))).alias("h")
     )
     rows = hits.select(
         "doc_id", "chunk_idx", "chunk_id", F.col("h.term").alias("term"),
