@@ -160,6 +160,9 @@ _NO_SPAN = "struct<char_start:int,char_end:int>"
 def find_quote(text: Column, quote: Column, search_start: Column) -> Column:
     """Span of ``quote`` at or after ``search_start``: exact, else with any white space; or null."""
     at = F.position(quote, text, search_start + 1)
+    # The loose search only runs where every word of the quote occurs at all.
+    words = F.filter(F.split(T.strip(quote), WS + "+"), lambda w: w != "")
+    could_match = (T.strip(quote) != "") & F.forall(words, lambda w: F.contains(text, w))
 
     def loose() -> Column:
         pattern = F.concat(F.lit("(?s)\\A(.*?)("), T.phrase_regex(quote), F.lit(")"))
@@ -180,7 +183,7 @@ def find_quote(text: Column, quote: Column, search_start: Column) -> Column:
         at,
         lambda a: F.when(
             a > 0, F.struct((a - 1).alias("char_start"), (a - 1 + F.length(quote)).alias("char_end"))
-        ).when(T.strip(quote) != "", loose()),
+        ).when(could_match, loose()),
     )
 
 
