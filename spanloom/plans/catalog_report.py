@@ -23,7 +23,7 @@ from .registry import query
 
 def audit(spark, sf):
     return run_audit(
-        documents(spark, sf), evidence_vectors(spark, sf), RULES, window_tokens=WINDOW_TOKENS, max_windows=MAX_WINDOWS
+        documents(spark, sf), evidence_vectors(spark, sf), RULES, window_tokens=WINDOW_TOKENS, max_windows=MAX_WINDOWS, materialize=True,
     )
 
 
