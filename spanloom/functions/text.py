@@ -23,7 +23,7 @@ WS_CHARS = (
 _RARE_WS = "\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WS = f"[\\t-\\r\\x1c-\\x20[\\x85-\\u3000&&[\\x85\\xa0{_RARE_WS}]]]"
 NOT_WS = f"[\\x21-\\x84\\x00-\\x08\\x0e-\\x1b[\\x86-\\x{{10ffff}}&&[^\\xa0{_RARE_WS}]]]"
-WORD = "[\\p{L}\\p{N}_]"
+WORD = "[a-zA-Z0-9_[\\x80-\\x{10ffff}&&[\\p{L}\\p{N}]]]"
 TOKENS_PER_WORD = 1.3
 
 
@@ -106,9 +106,14 @@ def word_boundaries(term: str) -> tuple[str, str]:
     return before, after
 
 
+def case_flags(text: str) -> str:
+    """Flags that ignore case; the cheaper ASCII form where the text allows it."""
+    return "i" if text.isascii() else "iu"
+
+
 def word_regex(term: str) -> str:
     before, after = word_boundaries(term)
-    return f"(?iu){before}{escape_literal(term)}{after}"
+    return f"{before}(?{case_flags(term)}:{escape_literal(term)}){after}"
 
 
 def phrase_regex(quote: Column) -> Column:

@@ -10,21 +10,34 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from .text import escape_literal, word_boundaries
+from .text import case_flags, escape_literal, word_boundaries
 
 _END = ""
 
 
 def vocabulary_regex(terms: Iterable[str]) -> str:
     """Case-insensitive Java regex for any of ``terms`` between Unicode word boundaries."""
+    terms = list(terms)
+    flags = case_flags("".join(terms))
     branches: dict[str, dict] = {}
     for term in terms:
         before, after = word_boundaries(term)
-        node = branches.setdefault(before, {})
-        for ch in term:
-            node = node.setdefault(ch, {})
-        node[_END] = after
-    return "(?iu)(?:" + "|".join(b + _render(t) for b, t in branches.items()) + ")"
+        _insert(branches.setdefault(before, {}), term, f"(?-{flags}:{after})")
+    return "(?:" + "|".join(f"{b}(?{flags}:{_render(t)})" for b, t in branches.items()) + ")"
+
+
+def literals_regex(texts: Iterable[str]) -> str:
+    """Regex for any of the given texts, exactly as written."""
+    root: dict = {}
+    for text in texts:
+        _insert(root, text, "")
+    return _render(root)
+
+
+def _insert(node: dict, term: str, end: str) -> None:
+    for ch in term:
+        node = node.setdefault(ch, {})
+    node[_END] = end
 
 
 def _render(node: dict) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.columns import built_once
 from ..functions.responses import response_object
 from ..functions.spans import match_spans, points_in_intervals
 from ..functions.text import WS, lit_let
@@ -17,7 +18,7 @@ from ..functions.wordtrie import vocabulary_regex
 from .lexicon import CATEGORIES, DEFAULT_CATEGORY
 from .parse import (
     DEFAULT_MAX_WINDOWS, DEFAULT_WINDOW_TOKENS, guard_english, guard_nonempty, guard_window_cap,
-    numbered, parse_documents, pin,
+    numbered, parse_documents, pin, sentences_of_blocks,
 )
 
 VERIFY_SLACK = 200
@@ -249,6 +250,41 @@ def _with_context(text: Column, sentences: Column, blocks: Column, candidates: C
     return F.transform(candidates, one)
 
 
+@built_once
+def _found(rules: tuple[Rule, ...]) -> Column:
+    return verify_array(F.col("text"), rule_detect_array(F.col("windows"), rules))
+
+
+def _accepted() -> Column:
+    return F.filter("found", lambda c: c["accepted"])
+
+
+@built_once
+def _expansions() -> Column:
+    """Each distinct quote is looked up once per document, however many windows repeat it."""
+    return lit_let(
+        F.array_distinct(F.transform(_accepted(), lambda c: quote_key(c["quote"]))),
+        lambda keys: F.map_from_arrays(keys, F.transform(keys, lambda k: expanded_occurrences(F.col("text"), k))),
+    )
+
+
+@built_once
+def _candidates() -> Column:
+    """Accepted candidates with context; sentences are only cut where there are candidates."""
+    context = F.when(
+        F.size(_accepted()) > 0,
+        lit_let(sentences_of_blocks(), lambda ss: _with_context(F.col("text"), ss, F.col("blocks"), _accepted())),
+    )
+    return F.transform(
+        context,
+        lambda x: F.struct(
+            *[x["c"][n].alias(n) for n in ("window_idx", "pos", "quote", "char_start", "char_end", "category", "reason", "lexicon_backed")],
+            x["sentence_id"].alias("sentence_id"), x["sentence_text"].alias("sentence_text"),
+            x["paragraph_text"].alias("paragraph_text"), F.element_at("expansions", quote_key(x["c"]["quote"])).alias("expanded"),
+        ),
+    )
+
+
 def audit_documents(
     documents: DataFrame,
     rules: Sequence[Rule] = DEFAULT_RULES,
@@ -263,35 +299,9 @@ def audit_documents(
     """
     guarded = guard_english(guard_nonempty(documents)).select("doc_id", "text")
     parsed = guard_window_cap(parse_documents(guarded, window_tokens, sentences=False), max_windows)
-    found = pin(parsed, "found", verify_array(F.col("text"), rule_detect_array(F.col("windows"), rules)))
-    from .parse import sentence_array
-
-    # Sentences are only cut where a candidate needs its context.
-    accepted = F.filter("found", lambda c: c["accepted"])
-    context = F.when(
-        F.size(accepted) > 0,
-        lit_let(
-            sentence_array(F.col("blocks")),
-            lambda ss: _with_context(F.col("text"), ss, F.col("blocks"), accepted),
-        ),
-    )
-    # Each distinct quote is looked up once per document, however many windows repeat it.
-    expansions = lit_let(
-        F.array_distinct(F.transform(accepted, lambda c: quote_key(c["quote"]))),
-        lambda keys: F.map_from_arrays(keys, F.transform(keys, lambda k: expanded_occurrences(F.col("text"), k))),
-    )
-    found = pin(found, "expansions", expansions)
-    candidates = F.transform(
-        context,
-        lambda x: F.struct(
-            x["c"]["window_idx"].alias("window_idx"), x["c"]["pos"].alias("pos"), x["c"]["quote"].alias("quote"),
-            x["c"]["char_start"].alias("char_start"), x["c"]["char_end"].alias("char_end"),
-            x["c"]["category"].alias("category"), x["c"]["reason"].alias("reason"),
-            x["c"]["lexicon_backed"].alias("lexicon_backed"), x["sentence_id"].alias("sentence_id"),
-            x["sentence_text"].alias("sentence_text"), x["paragraph_text"].alias("paragraph_text"),
-            F.element_at("expansions", quote_key(x["c"]["quote"])).alias("expanded"),
-        ),
-    )
+    found = pin(parsed, "found", _found(tuple(rules)))
+    found = pin(found, "expansions", _expansions())
+    candidates = _candidates()
     return pin(found, "candidates", candidates).select(
         "doc_id", F.size("windows").alias("n_windows"), F.size("found").alias("n_raw"),
         F.size(F.filter("found", lambda c: ~c["accepted"])).alias("n_dropped"), "candidates",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import built_once
 from ..functions.sizes import broadcast_if_small
 from ..functions.spans import match_spans, points_in_intervals
 from ..functions.text import escape_literal, word_regex
@@ -43,9 +44,14 @@ def hit_array(text: Column, terms: list[str], batch_size: int = DEFAULT_BATCH) -
     return F.array_distinct(F.array_sort(F.flatten(F.array(*found))))
 
 
+@built_once
+def _hits(terms: tuple[str, ...], batch_size: int) -> Column:
+    return hit_array(F.col("text"), list(terms), batch_size)
+
+
 def raw_hits(documents: DataFrame, terms: list[str], batch_size: int = DEFAULT_BATCH) -> DataFrame:
     """(doc_id, char_start, char_end, term); stateless per document, so it also streams."""
-    hits = documents.select("doc_id", F.explode(hit_array(F.col("text"), terms, batch_size)).alias("h"))
+    hits = documents.select("doc_id", F.explode(_hits(tuple(terms), batch_size)).alias("h"))
     return hits.select("doc_id", "h.char_start", "h.char_end", F.lower("h.text").alias("term"))
 
 
@@ -82,9 +88,9 @@ def _with_entries(hits: DataFrame, lexicon: DataFrame) -> DataFrame:
     )
 
 
-def lexicon_lookup(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Per chunk and per term: every term is searched on its own, so matches may overlap."""
-    terms = lexicon_terms(lexicon, max_terms=5_000)
+@built_once
+def _term_spans(terms: tuple[str, ...]) -> Column:
+    """Matches of every term on its own, in the column ``text``."""
 
     def spans_of(term: str) -> Column:
         return F.transform(
@@ -92,10 +98,17 @@ def lexicon_lookup(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
             lambda s: F.struct(F.lit(term).alias("term"), s["char_start"].alias("s"), s["char_end"].alias("e")),
         )
 
+    return F.flatten(F.array(*[spans_of(t) for t in terms]))
+
+
+def lexicon_lookup(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Per chunk and per term: every term is searched on its own, so matches may overlap."""
+    terms = lexicon_terms(lexicon, max_terms=5_000)
+
     # One cheap pass with the shared pattern drops the chunks that hold no term at all.
     any_term = "|".join(escape_literal(t) for t in terms)
     hits = chunks.filter(F.rlike("text", F.lit(f"(?iu){any_term}"))).select(
-        "doc_id", "chunk_idx", "chunk_id", F.col("char_start").alias("__at"), F.explode(F.flatten(F.array(*[spans_of(t) for t in terms]))).alias("h")
+        "doc_id", "chunk_idx", "chunk_id", F.col("char_start").alias("__at"), F.explode(_term_spans(tuple(terms))).alias("h")
     )
     rows = hits.select(
         "doc_id", "chunk_idx", "chunk_id", F.col("h.term").alias("term"),

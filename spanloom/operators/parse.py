@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.columns import built_once
 from ..functions.spans import MARK, gap_spans, scan
 from ..functions.text import WS, lit_let
 
@@ -306,37 +307,54 @@ def guard_window_cap(parsed: DataFrame, max_windows: int = DEFAULT_MAX_WINDOWS)
 # ---- parsed documents and their tables -------------------------------------------------
 
 
+@built_once
+def _blocks() -> Column:
+    return block_array(F.col("text"))
+
+
+@built_once
+def _segments(window_tokens: int) -> Column:
+    return segment_array(F.col("blocks"), window_tokens)
+
+
+@built_once
+def _windows(window_tokens: int) -> Column:
+    return window_array(_segments(window_tokens), window_tokens)
+
+
+@built_once
+def sentences_of_blocks() -> Column:
+    return sentence_array(F.col("blocks"))
+
+
 def parse_blocks(documents: DataFrame) -> DataFrame:
-    return pin(documents, "blocks", block_array(F.col("text")))
+    return pin(documents, "blocks", _blocks())
 
 
 def parse_documents(
     documents: DataFrame, window_tokens: int = DEFAULT_WINDOW_TOKENS, *, sentences: bool = True
 ) -> DataFrame:
     """Add ``blocks``, ``windows`` and (on request) ``sentences`` arrays to each document."""
-    out = parse_blocks(documents)
-    out = pin(out, "windows", window_array(segment_array(F.col("blocks"), window_tokens), window_tokens))
-    return pin(out, "sentences", sentence_array(F.col("blocks"))) if sentences else out
+    out = pin(parse_blocks(documents), "windows", _windows(window_tokens))
+    return pin(out, "sentences", sentences_of_blocks()) if sentences else out
 
 
 def block_table(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.inline(block_array(F.col("text"))))
+    return documents.select("doc_id", F.inline(_blocks()))
 
 
 def sentence_table(documents: DataFrame) -> DataFrame:
-    return parse_blocks(documents).select("doc_id", F.inline(sentence_array(F.col("blocks"))))
+    return parse_blocks(documents).select("doc_id", F.inline(sentences_of_blocks()))
 
 
 def segment_table(documents: DataFrame, window_tokens: int = DEFAULT_WINDOW_TOKENS) -> DataFrame:
-    segs = segment_array(F.col("blocks"), window_tokens)
     return parse_blocks(documents).select(
-        "doc_id", F.posexplode(segs).alias("segment_idx", "s")
+        "doc_id", F.posexplode(_segments(window_tokens)).alias("segment_idx", "s")
     ).select("doc_id", "segment_idx", "s.*")
 
 
 def window_table(documents: DataFrame, window_tokens: int = DEFAULT_WINDOW_TOKENS) -> DataFrame:
-    segs = segment_array(F.col("blocks"), window_tokens)
-    return parse_blocks(documents).select("doc_id", F.inline(window_array(segs, window_tokens)))
+    return parse_blocks(documents).select("doc_id", F.inline(_windows(window_tokens)))
 
 
 def window_offsets(documents: DataFrame, window_tokens: int = DEFAULT_WINDOW_TOKENS) -> DataFrame:
@@ -361,24 +379,26 @@ def roundtrip_violations(documents: DataFrame) -> DataFrame:
             ),
         )
 
-    parsed = pin(parse_blocks(documents), "sentences", sentence_array(F.col("blocks")))
+    parsed = pin(parse_blocks(documents), "sentences", sentences_of_blocks())
     return parsed.select(
         "doc_id", F.inline(F.concat(bad(F.col("blocks"), "block"), bad(F.col("sentences"), "sentence")))
     )
 
 
+@built_once
+def _chunks() -> Column:
+    cut = f"(?<=[.!?]){WS}++(?=[A-Z])"
+    spans = gap_spans(T.strip(F.col("text")), lambda t: F.regexp_replace(t, f"({cut})", f"{MARK}$1{MARK}"))
+    return F.filter(spans, lambda s: s["text"] != "")
+
+
 def chunk_table(documents: DataFrame, context_chars: int = 80) -> DataFrame:
     """Simple sentence chunks with context: a split at .!? before a capital, no abbreviations."""
-    cut = f"(?<=[.!?]){WS}+(?=[A-Z])"
-    spans = F.filter(
-        gap_spans(T.strip(F.col("text")), lambda t: F.regexp_replace(t, f"({cut})", f"{MARK}$1{MARK}")),
-        lambda s: s["text"] != "",
-    )
     lead = F.length("text") - F.length(T.lstrip(F.col("text")))
     start, end = F.col("c.char_start") + F.col("lead"), F.col("c.char_end") + F.col("lead")
     before = F.greatest(F.lit(0), start - context_chars)
     exploded = guard_nonempty(documents).select(
-        "doc_id", "text", lead.alias("lead"), F.posexplode(spans).alias("chunk_idx", "c")
+        "doc_id", "text", lead.alias("lead"), F.posexplode(_chunks()).alias("chunk_idx", "c")
     )
     return exploded.select(
         "doc_id", "chunk_idx", numbered("c", F.col("chunk_idx"), 3).alias("chunk_id"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.spans import overlap_chars
+from ..functions.sizes import cut_lineage
+from ..functions.spans import overlap_chars, passages_in
 from ..operators import align as A
 from ..operators import candidates as C
 from ..operators import consolidate as K
@@ -16,7 +17,7 @@ from ..operators import report as R
 from . import oracle as O
 from .audit import run_audit
 from .catalog_tables import hash_sql
-from .catalog_text import _CHUNK_SQL, _CLASSIFY_SQL, audited, documents, guarded, hits
+from .catalog_text import _CHUNK_SQL, _CLASSIFY_SQL, audited, documents, guarded, hits, passages
 from .inputs import MAX_WINDOWS, RULES, WINDOW_TOKENS, evidence_vectors, lexicon, raw_documents, table
 from .registry import query
 
@@ -440,20 +441,13 @@ _SPAN = O.with_(O.DOCS, O.hits(), _GOLD_SQL)
 
 def gold(spark, sf):
     docs = guarded(spark, sf)
-    rows = table(spark, sf, "benchmark").select("item_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("t")).collect()
-    found = F.filter(
-        F.array(*[
-            F.struct(F.lit(r["item_id"]).alias("gold_idx"), (F.locate(r["t"], "text") - 1).alias("char_start"), F.lit(len(r["t"])).alias("n")) for r in rows
-        ]),
-        lambda s: s["char_start"] >= 0,
-    )
+    texts = {k: p.replace("\n", "\n\n") for k, p in passages(spark, sf).items()}
     m = F.col("gold_idx") % 3
     labels = F.when(m == 0, F.array(F.lit("Correct"))).when(m == 1, F.array(F.lit("Biased"), F.lit("outdated"))).otherwise(
         F.array(F.lit("Potentially Offensive"), F.lit("correct"))
     )
-    return docs.select("doc_id", F.inline(found)).select(
-        "doc_id", "gold_idx", "char_start", (F.col("char_start") + F.col("n")).alias("char_end"), labels.alias("labels")
-    )
+    found = docs.select("doc_id", F.inline(passages_in(F.col("text"), texts))).withColumnRenamed("key", "gold_idx")
+    return found.select("doc_id", "gold_idx", "char_start", "char_end", labels.alias("labels"))
 
 
 def predictions(spark, sf):
@@ -464,7 +458,8 @@ def predictions(spark, sf):
 
 
 def outcomes(spark, sf):
-    return E.match_outcome(E.best_gold_match(predictions(spark, sf), gold(spark, sf)))
+    """Scored predictions; several metrics read these narrow rows, so the texts are scanned once."""
+    return cut_lineage(E.match_outcome(E.best_gold_match(predictions(spark, sf), gold(spark, sf))))
 
 
 @query("best_gold_match", _SPAN + "SELECT doc_id, pred_idx, gold_idx, round(frac, 6) AS frac FROM oc")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.spans import passages_in
 from ..operators import candidates as C
 from ..operators import match as M
 from ..operators import parse as P
@@ -418,20 +419,16 @@ def benchmark_spans(spark, sf):
 
     The passages are a bounded table; a document only pays for the passages it holds.
     """
-    items = table(spark, sf, "benchmark").select("item_id", "text")
-    rows = items.limit(20_001).collect()
-    if len(rows) > 20_000:
-        raise ValueError("too many passages for one pattern")
-    found = F.filter(
-        F.array(*[
-            F.struct(F.lit(r["item_id"]).alias("item_id"), (F.locate(r["text"], "text") - 1).alias("char_start"), F.lit(len(r["text"])).alias("n"))
-            for r in rows
-        ]),
-        lambda s: s["char_start"] >= 0,
-    )
-    return raw_documents(spark, sf).select("doc_id", F.inline(found)).select(
-        "doc_id", "item_id", "char_start", (F.col("char_start") + F.col("n")).alias("char_end")
-    )
+    found = passages_in(F.col("text"), passages(spark, sf))
+    return raw_documents(spark, sf).select("doc_id", F.inline(found)).withColumnRenamed("key", "item_id")
+
+
+def passages(spark, sf, limit=20_000):
+    """The benchmark passages as driver values, under a size check."""
+    rows = table(spark, sf, "benchmark").select("item_id", "text").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} passages; run them in groups")
+    return {r["item_id"]: r["text"] for r in rows}
 
 
 @query(

@@ -30,14 +30,15 @@ GOLD_CATEGORIES = {
 EXEMPLAR_ROWS = (2, 6, 10, 16, 24, 28, 30, 35, 42, 45, 56, 64, 78)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Use every core when the input has fewer files than there are cores.
 
     A single small file is one task however long its texts are. Inputs of many files, the
-    normal case on a cluster, are left as they are: no shuffle.
+    normal case on a cluster, are left as they are: no shuffle. Spreading by the key spares
+    later groupings by it their exchange.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
