@@ -408,5 +408,3 @@ def chunk_table(documents: DataFrame, context_chars: int = 80) -> DataFrame:
         start.alias("char_start"), end.alias("char_end"),
     )
 
-
-__all__ = [n for n in dir() if not n.startswith("_")]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.sizes import broadcast_if_small
+from ..functions.sizes import fits
 from ..functions.vectors import MAX_BROADCAST_QUERIES, cosine, hash_embed, top_k
 
 OVER_FETCH = 5
@@ -29,8 +29,10 @@ def topk_by_doc(queries: DataFrame, vectors: DataFrame, k: int = 3, *, max_broad
     """
     extra = [c for c in vectors.columns if c not in ("id", "ord", "embedding")]
     hits = top_k(queries, vectors, k * OVER_FETCH, max_broadcast=max_broadcast)
-    # Only the fetched ids pick up their attributes, at most 5k rows per query.
-    hits = hits.join(vectors.select("ord", *extra), "ord")
+    # Only fetched ids pick up their attributes: at most 5k rows per query, so with few queries
+    # the hits travel and the vector table is not shuffled.
+    few = fits(queries, max_broadcast)
+    hits = vectors.select("ord", *extra).join(F.broadcast(hits) if few else hits, "ord")
     key = F.coalesce(F.nullif(F.col("doc_key").cast("string"), F.lit("")), F.col("id").cast("string"))
     per_doc = Window.partitionBy("query_id", key).orderBy("rank")
     kept = hits.withColumn("__rn", F.row_number().over(per_doc)).filter("__rn = 1").drop("__rn")
@@ -221,5 +223,3 @@ def small_requests(requests: DataFrame, max_rows: int = 1_000) -> list[dict]:
         raise ValueError(f"more than {max_rows} search requests; run them in groups")
     return [r.asDict(recursive=True) for r in rows]
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["broadcast_if_small"]

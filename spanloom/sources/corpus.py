@@ -181,9 +181,10 @@ def corpus_append_dedup(existing: DataFrame, fetched: DataFrame, *, width: int =
     usable = fetched.filter((F.col("doc_id") != "") & ~is_blank(F.col("chunk_text")))
     known = existing.select("doc_id").filter("doc_id <> ''").distinct()
     fresh = usable.join(known, "doc_id", "left_anti")
-    first = fresh.groupBy("doc_id").agg(F.min(F.struct("query_idx", "pos")).alias("at"))
-    rows = fresh.join(first, "doc_id").filter((F.col("query_idx") == F.col("at.query_idx")) & (F.col("pos") == F.col("at.pos"))).drop("at")
-    rows = rows.dropDuplicates(["doc_id"])
+    # The winner of a doc_id is an aggregate, so one that was fetched very often is reduced
+    # inside each task before it meets the others.
+    rest = [c for c in fresh.columns if c != "doc_id"]
+    rows = fresh.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.struct("query_idx", "pos")).alias("r")).select("doc_id", "r.*")
     spacing = 1 << 40
     numbered = row_numbers(
         rows.withColumn("__seq", F.col("query_idx").cast("bigint") * F.lit(spacing) + F.col("pos")), "__seq", "__n", width=width

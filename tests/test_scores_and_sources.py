@@ -72,7 +72,7 @@ def test_usage(spark):
 
 
 def test_highlights_merge_on_the_first_y_and_align(spark):
-    rows = [(1, 1, 10.0, 0, "same-gender orientation", "a"), (1, 1, 14.0, 1, "same-gender orientation", "b"), (1, 1, 18.0, 2, "same-gender orientation", "c"), (1, 1, 40.0, 3, "some words f", "a"), (1, 1, 60.0, 4, "absent", "a")]
+    rows = [(1, 1, 10.0, 0, "same-gender orientation", "a"), (1, 1, 14.0, 1, "same-gender orientation", "b"), (1, 1, 18.0, 2, "same-gender orientation", "c"), (1, 1, 40.0, 3, "some words x", "a"), (1, 1, 60.0, 4, "absent", "a")]
     groups = A.highlight_merge(spark.createDataFrame(rows, "doc_id int, page int, y double, pos int, text string, label string"))
     g = groups.orderBy("group_idx").collect()
     assert [r.labels for r in g] == [["a", "b"], ["c"], ["a"], ["a"]]
