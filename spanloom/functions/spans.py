@@ -196,12 +196,14 @@ def overlapping_spans(
     key: str = "doc_id",
     left_span: tuple[str, str],
     right_span: tuple[str, str],
+    how: str = "inner",
     bucket: int = DEFAULT_BUCKET,
 ) -> DataFrame:
-    """Inner join of spans of the same key that share at least one character.
+    """Join spans of the same key that share at least one character.
 
     Both sides are repeated per bucket touched; a pair is kept only in the first bucket the
-    two spans have in common, which makes the result duplicate-free.
+    two spans have in common, which makes the pairs duplicate-free. With ``how='left'`` a left
+    span also appears without a partner for every bucket that gave it none.
     """
     (ls, le), (rs, re_) = left_span, right_span
 
@@ -218,4 +220,4 @@ def overlapping_spans(
         & (F.col(rs) < F.col(le))
         & (F.col("__b") == F.greatest(_bucket(F.col(ls), bucket), _bucket(F.col(rs), bucket)))
     )
-    return a.join(b, meets, "inner").drop("__b", "__rb", "__k")
+    return a.join(b, meets, how).drop("__b", "__rb", "__k")

@@ -71,18 +71,20 @@ def best_gold_match(predicted: DataFrame, gold: DataFrame, min_overlap: float =
     """Each prediction with its best gold span, or nulls.
 
     The overlap is measured against the gold length; the largest share wins, then the lowest
-    gold index. The winner is an aggregate, so one crowded prediction keeps one row.
+    gold index. One left join and one aggregate: predictions are read once.
     """
-    pairs = overlapping_spans(predicted, _gold(gold).filter("g_end > g_start"), left_span=("char_start", "char_end"), right_span=("g_start", "g_end"))
+    pairs = overlapping_spans(
+        predicted, _gold(gold).filter("g_end > g_start"), left_span=("char_start", "char_end"), right_span=("g_start", "g_end"), how="left"
+    )
     share = overlap_chars(F.col("char_start"), F.col("char_end"), F.col("g_start"), F.col("g_end")) / (F.col("g_end") - F.col("g_start"))
-    best = (
-        pairs.withColumn("frac", share)
-        .filter(F.col("frac") >= min_overlap)
-        .groupBy("doc_id", "pred_idx")
-        .agg(F.max_by(F.struct("gold_idx", "frac", "gold_labels", "is_problem"), F.struct("frac", F.negative("gold_idx"))).alias("m"))
-        .select("doc_id", "pred_idx", "m.*")
+    rest = [c for c in predicted.columns if c not in ("doc_id", "pred_idx")]
+    match = F.struct("gold_idx", "frac", "gold_labels", "is_problem")
+    ok = F.col("frac") >= min_overlap
+    best = pairs.withColumn("frac", F.when(F.col("gold_idx").isNotNull(), share)).groupBy("doc_id", "pred_idx").agg(
+        F.any_value(F.struct(*rest)).alias("p"),
+        F.max_by(F.when(ok, match), F.when(ok, F.struct("frac", F.negative("gold_idx")))).alias("m"),
     )
-    return predicted.join(best, ["doc_id", "pred_idx"], "left")
+    return best.select("doc_id", "pred_idx", "p.*", "m.*")
 
 
 def match_outcome(matched: DataFrame) -> DataFrame:
@@ -125,7 +127,8 @@ def span_detection(outcomes: DataFrame, gold: DataFrame) -> DataFrame:
     counts = outcomes.agg(F.count_if(on_problem).alias("tp"), F.count_if(~on_problem).alias("fp"))
     seen = outcomes.filter(on_problem).select("doc_id", "gold_idx").distinct()
     missed = _gold(gold).filter("is_problem").join(seen, ["doc_id", "gold_idx"], "left_anti").agg(F.count(F.lit(1)).alias("fn"))
-    return _prf(counts.join(F.broadcast(missed)))  # one row each
+    parts = counts.withColumn("fn", F.lit(0)).unionByName(missed.select(F.lit(0).alias("tp"), F.lit(0).alias("fp"), "fn"))
+    return _prf(parts.agg(*[F.sum(n).alias(n) for n in ("tp", "fp", "fn")]))
 
 
 def gold_label_recall(outcomes: DataFrame, gold: DataFrame) -> DataFrame:
@@ -147,7 +150,9 @@ def score_overview(outcomes: DataFrame, gold: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_predicted"),
     )
     g = _gold(gold).agg(F.count_if("is_problem").alias("n_gold_problem_spans"))
-    return n.join(F.broadcast(g))  # one row each
+    names = [*n.columns, *g.columns]
+    both = n.unionByName(g, allowMissingColumns=True)
+    return both.agg(*[F.sum(c).alias(c) for c in names])
 
 
 def predicted_spans(decided: DataFrame) -> DataFrame:
@@ -158,7 +163,7 @@ def predicted_spans(decided: DataFrame) -> DataFrame:
     )
 
 
-def baseline_pipeline(documents: DataFrame, lexicon: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
+def baseline_audit(documents: DataFrame, lexicon: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
     """Fixed sequence: chunk, look up, skip chunks without a hit, classify, record flags."""
     hit = document_lookup(documents, lexicon).select("doc_id", "chunk_idx").distinct()
     chunks = chunk_table(documents).join(hit, ["doc_id", "chunk_idx"], "left_semi")

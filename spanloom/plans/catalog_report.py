@@ -543,12 +543,12 @@ _BASE_HIT = f"SELECT doc_id, chunk_idx FROM cl_x WHERE regexp_matches(ft, '{O.al
 
 
 @query(
-    "baseline_pipeline",
+    "baseline_audit",
     O.with_(O.RAW, _CHUNK_SQL, O.rules(), _CLASSIFY_SQL)
     + f"SELECT c.doc_id, c.chunk_idx, c.text AS span, c.flag_category AS category, c.reason, 'medium' AS confidence FROM classified c SEMI JOIN ({_BASE_HIT}) h ON h.doc_id = c.doc_id AND h.chunk_idx = c.chunk_idx WHERE label = 'flag'",
 )
 def _(spark, sf):
-    return E.baseline_pipeline(raw_documents(spark, sf), lexicon(spark), RULES).select("doc_id", "chunk_idx", "span", "category", "reason", "confidence")
+    return E.baseline_audit(raw_documents(spark, sf), lexicon(spark), RULES).select("doc_id", "chunk_idx", "span", "category", "reason", "confidence")
 
 
 @query(

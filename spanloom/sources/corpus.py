@@ -189,10 +189,9 @@ def corpus_append_dedup(existing: DataFrame, fetched: DataFrame, *, width: int =
     numbered = row_numbers(
         rows.withColumn("__seq", F.col("query_idx").cast("bigint") * F.lit(spacing) + F.col("pos")), "__seq", "__n", width=width
     ).drop("__seq")
-    top = existing.agg(F.coalesce(F.max(F.expr("try_cast(chunk_id AS BIGINT)")), F.lit(0)).alias("__max"))
-    return numbered.join(F.broadcast(top)).withColumn("chunk_id", (F.col("__max") + F.col("__n")).cast("string")).drop(
-        "__max", "__n"
-    )  # the maximum is one row
+    # One number from one narrow column.
+    top = existing.agg(F.coalesce(F.max(F.expr("try_cast(chunk_id AS BIGINT)")), F.lit(0)).alias("n")).first()["n"]
+    return numbered.withColumn("chunk_id", (F.lit(top) + F.col("__n")).cast("string")).drop("__n")
 
 
 def vector_upsert(store: DataFrame, batches: DataFrame, dim: int) -> DataFrame:
