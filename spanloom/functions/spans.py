@@ -146,13 +146,20 @@ def passages_in(text: Column, passages: dict, prefix: int = 24) -> Column:
     """
     starts = literals_regex({p[:prefix] for p in passages.values()})
     each = F.array(*[
-        F.struct(
-            F.lit(k).alias("key"), (F.locate(p, text) - 1).alias("char_start"), (F.locate(p, text) - 1 + len(p)).alias("char_end")
-        )
+        F.struct(F.lit(k).alias("key"), (F.locate(p, text) - 1).alias("char_start"), F.lit(len(p)).alias("n"))
         for k, p in passages.items()
     ])
-    found = F.filter(each, lambda s: s["char_start"] >= 0)
-    return F.when(F.rlike(text, F.lit(starts)), found).otherwise(F.slice(each, 1, 0))
+    found = F.transform(
+        F.filter(each, lambda s: s["char_start"] >= 0),
+        lambda s: F.struct(
+            s["key"].alias("key"), s["char_start"].alias("char_start"), (s["char_start"] + s["n"]).alias("char_end")
+        ),
+    )
+    nothing = F.filter(
+        F.array(F.struct(F.lit(next(iter(passages))).alias("key"), F.lit(0).alias("char_start"), F.lit(0).alias("char_end"))),
+        lambda s: s["char_end"] > 0,
+    )
+    return F.when(F.rlike(text, F.lit(starts)), found).otherwise(nothing)
 
 
 def _bucket(col: Column, width: int) -> Column:
