@@ -55,7 +55,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     at = F.array_max(F.transform("log", lambda e, i: F.when(e["rank"].isin(1, 3, 4), i).otherwise(F.lit(0))))
     said = log.select(
         "conv_id", "msg", F.filter(F.slice("log", at + 1, F.size("log")), lambda e: e["rank"] > 0)["text"].alias("pieces"),
-        F.element_at(F.filter("log", lambda e: e["role"].isNotNull()), -1)["role"].alias("role"),
+        F.try_element_at(F.filter("log", lambda e: e["role"].isNotNull()), F.lit(-1))["role"].alias("role"),
         F.array_max(F.filter("log", lambda e: e["rank"] == 4)["seq"]).alias("again"), F.element_at("log", -1)["seq"].alias("last"),
     )
     earlier = W.partitionBy("conv_id").orderBy("msg").rowsBetween(W.unboundedPreceding, -1)

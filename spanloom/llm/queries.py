@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, urls
+from . import chat, contamination, mixing, pii, quality, simhash, urls
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op4_poisson_mix": mixing.op4_poisson_mix,
     "op5_url_filter": urls.op5_url_filter,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op8_pii": pii.op8_pii,
+    "op9_decontaminate": contamination.op9_decontaminate,
+    "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {
     "op2_chat_format": chat.OP2_SQL,
     "op4_poisson_mix": mixing.OP4_SQL,
     "op5_url_filter": urls.OP5_SQL,
     "op6_quality_rules": quality.OP6_SQL,
+    "op9_decontaminate": contamination.OP9_SQL,
 }
