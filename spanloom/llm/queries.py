@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, contamination, mixing, pii, quality, simhash, urls
+from . import chat, contamination, language, mixing, pii, quality, simhash, toxicity, urls
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
     "op2_chat_format": chat.op2_chat_format,
     "op4_poisson_mix": mixing.op4_poisson_mix,
     "op5_url_filter": urls.op5_url_filter,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_pii": pii.op8_pii,
     "op9_decontaminate": contamination.op9_decontaminate,
     "op10_simhash": simhash.op10_simhash,
