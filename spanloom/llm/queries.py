@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, contamination, language, mixing, pii, quality, simhash, toxicity, urls
+from . import chat, contamination, language, mixing, pii, quality, simhash, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
     "op2_chat_format": chat.op2_chat_format,
+    "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_poisson_mix": mixing.op4_poisson_mix,
     "op5_url_filter": urls.op5_url_filter,
     "op6_quality_rules": quality.op6_quality_rules,
