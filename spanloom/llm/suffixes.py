@@ -184,26 +184,37 @@ def remove_udf(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterat
     for texts, settled, found in batches:
         spans, kept = [], []
         for text, a, b in zip(texts.cast(pa.binary()), settled, found, strict=True):
-            raw, merged = text.as_py() or b"", []
-            for s, e in sorted((r["start"], r["end"]) for r in (a.as_py() or []) + (b.as_py() or [])):
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], e)
-                else:
-                    merged.append([s, e])
-            cuts = [0, *[x for m in merged for x in m], len(raw)]
-            spans.append([tuple(m) for m in merged])
+            raw = text.as_py() or b""
+            gone = merged([(r["start"], r["end"]) for r in (a.as_py() or []) + (b.as_py() or [])])
+            cuts = [0, *[x for m in gone for x in m], len(raw)]
+            spans.append([tuple(m) for m in gone])
             kept.append(b"".join(raw[cuts[i] : cuts[i + 1]] for i in range(0, len(cuts), 2)))
         yield pa.StructArray.from_arrays([_ranges(spans), pa.array(kept, pa.binary())], ["spans", "kept"])
 
 
+def merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
+    """Union of ranges as maximal ranges."""
+    out: list[list[int]] = []
+    for s, e in sorted(ranges):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One suffix array per group of anchors; rows come sorted by anchor."""
 
     def solve(rows: list[dict]) -> pa.RecordBatch:
-        found = [(rows[c], start, size) for size, places in maximal_repeats([r["bytes"] for r in rows], LENGTH) for c, start in places]
+        ranges: list[list[tuple[int, int]]] = [[] for _ in rows]
+        for size, places in maximal_repeats([r["bytes"] for r in rows], LENGTH):
+            for c, start in places:
+                ranges[c].append((start, start + size))
+        found = [(r, s, e) for r, x in zip(rows, ranges, strict=True) for s, e in merged(x)]
         return pa.RecordBatch.from_arrays(
             [pa.array([r["kid"] for r, _, _ in found], pa.int64()), pa.array([r["th"] for r, _, _ in found], pa.int64()),
-             pa.array([r["start"] + s for r, s, _ in found], pa.int32()), pa.array([r["start"] + s + n for r, s, n in found], pa.int32())],
+             pa.array([r["start"] + s for r, s, _ in found], pa.int32()), pa.array([r["start"] + e for r, _, e in found], pa.int32())],
             ["kid", "th", "start", "end"],
         )
 
