@@ -20,14 +20,10 @@ def cut_lineage(df: DataFrame, tag: str = "stage") -> DataFrame:
     """Write a stage to the checkpoint folder of the session and read it back.
 
     The folder is the shared one the cluster names in ``spark.checkpoint.dir``. Only where
-    that is unset, as in tests, a scratch folder is used.
+    that is unset, as in tests, a folder of the warehouse is used.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-ckpt-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(folder or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint(eager=True)

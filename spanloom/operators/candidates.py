@@ -17,7 +17,7 @@ from ..functions.text import WS, lit_let
 from ..functions.wordtrie import vocabulary_regex
 from .lexicon import CATEGORIES, DEFAULT_CATEGORY
 from .parse import (
-    DEFAULT_MAX_WINDOWS, DEFAULT_WINDOW_TOKENS, guard_english, guard_nonempty, guard_window_cap,
+    DEFAULT_WINDOW_TOKENS, guard_english, guard_nonempty, guard_window_cap,
     numbered, parse_documents, pin, sentences_of_blocks,
 )
 
@@ -290,7 +290,7 @@ def audit_documents(
     rules: Sequence[Rule] = DEFAULT_RULES,
     *,
     window_tokens: int = DEFAULT_WINDOW_TOKENS,
-    max_windows: int = DEFAULT_MAX_WINDOWS,
+    max_windows: int | None = None,
 ) -> DataFrame:
     """Guards, parse, rule detection and quote verification; one narrow row per document.
 

@@ -25,11 +25,19 @@ def lexicon_terms(lexicon: DataFrame, max_terms: int = MAX_PATTERN_TERMS) -> lis
     The patterns built from it are part of the query plan, so its size is bounded. Beyond the
     bound the scan is run per slice of the lexicon with :func:`sliced_lexicon_hits`.
     """
-    order = ["ord", "term"] if "ord" in lexicon.columns else ["term"]
-    rows = lexicon.select(*order).distinct().limit(max_terms + 1).collect()
+    entries = lexicon_entries(lexicon)
+    rows = entries.select("term", *[c for c in entries.columns if c == "ord"]).limit(max_terms + 1).collect()
     if len(rows) > max_terms:
         raise ValueError(f"lexicon has more than {max_terms} terms; use sliced_lexicon_hits")
-    return [r["term"] for r in sorted(rows, key=lambda r: tuple(r[c] for c in order))]
+    return [r["term"] for r in sorted(rows, key=lambda r: (r["ord"] if "ord" in r else 0, r["term"]))]
+
+
+def lexicon_entries(lexicon: DataFrame) -> DataFrame:
+    """Terms in lower case, blank ones dropped, and one entry per term: the first by ``ord``."""
+    low = lexicon.withColumn("term", F.lower("term")).filter(F.trim("term") != "")
+    others = [c for c in lexicon.columns if c != "term"]
+    first = F.min_by(F.struct(*others), F.col("ord") if "ord" in others else F.xxhash64(*others))
+    return low.groupBy("term").agg(first.alias("__e")).select("term", "__e.*")
 
 
 def hit_array(text: Column, terms: list[str], batch_size: int = DEFAULT_BATCH) -> Column:
@@ -38,6 +46,8 @@ def hit_array(text: Column, terms: list[str], batch_size: int = DEFAULT_BATCH) -
     Within a batch the longest term wins and matches never overlap. Matches of different
     batches may overlap; identical spans are kept once.
     """
+    if not terms:
+        return F.array().cast("array<struct<char_start:int,char_end:int,text:string>>")
     found = [match_spans(text, p) for p in batched_regexes(terms, batch_size)]
     if len(found) == 1:
         return found[0]
@@ -79,7 +89,7 @@ def sliced_lexicon_hits(documents: DataFrame, lexicon: DataFrame, slices: int, b
 
 
 def _with_entries(hits: DataFrame, lexicon: DataFrame) -> DataFrame:
-    entry = lexicon.select(
+    entry = lexicon_entries(lexicon).select(
         "term", "category", "alternatives",
         note_with_condition(F.col("note"), F.col("condition")).alias("note"),
     )
@@ -98,6 +108,8 @@ def _term_spans(terms: tuple[str, ...]) -> Column:
             lambda s: F.struct(F.lit(term).alias("term"), s["char_start"].alias("s"), s["char_end"].alias("e")),
         )
 
+    if not terms:
+        return F.array().cast("array<struct<term:string,s:int,e:int>>")
     return F.flatten(F.array(*[spans_of(t) for t in terms]))
 
 
@@ -114,7 +126,7 @@ def lexicon_lookup(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
         "doc_id", "chunk_idx", "chunk_id", F.col("h.term").alias("term"),
         (F.col("__at") + F.col("h.s")).alias("char_start"), (F.col("__at") + F.col("h.e")).alias("char_end"),
     )
-    entry = lexicon.select(
+    entry = lexicon_entries(lexicon).select(
         "term", "category", "alternatives", note_with_condition(F.col("note"), F.col("condition")).alias("note")
     )
     return rows.join(broadcast_if_small(entry, 5_000), "term")
@@ -172,26 +184,22 @@ def hint_adjudication(hints: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-_HINT_HEAD = "HINTS (lexicon matches; give each one verdict, flag or clean):"
-_NO_HINTS = "HINTS: none in this window."
-_PROMPT_TAIL = 'Answer with one JSON object: {"candidates": [...], "hint_verdicts": [...]}.'
+PROMPT_TASK = (
+    "Find wording in the passage that excludes, demeans or misstates people. "
+    "Reply with a JSON object: candidates (a list) and hint_verdicts (flag or clean for each numbered term, if any)."
+)
+PROMPT_TERMS = "Terms of the lexicon in this passage:"
 
 
 def audit_prompts(windows: DataFrame, hints: DataFrame) -> DataFrame:
-    """One prompt per window: section, text, one line per hint (or 'none'), contract."""
-    alternatives = F.when(F.size("alternatives") > 0, F.array_join("alternatives", ", ")).otherwise("none")
-    condition = F.when(F.col("condition") != "", F.concat(F.lit("; condition: "), "condition")).otherwise("")
-    line = F.concat(
-        F.lit('- "'), "term", F.lit('" (category: '), "category", F.lit(", count in window: "),
-        F.col("hit_count").cast("string"), F.lit(", alternatives: "), alternatives, condition, F.lit(")"),
-    )
-    lines = hints.select("doc_id", "window_idx", "rank", line.alias("line")).groupBy("doc_id", "window_idx").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda s: s["line"]), "\n").alias("lines")
-    )
-    joined = windows.join(lines, ["doc_id", "window_idx"], "left")
-    section = F.when(F.col("heading_path") != "", F.concat(F.lit("Section: "), "heading_path", F.lit("\n"))).otherwise("")
-    hint_block = F.when(F.col("lines").isNotNull(), F.concat(F.lit(_HINT_HEAD + "\n"), "lines")).otherwise(F.lit(_NO_HINTS))
+    """One prompt per window: the task, a numbered line per hint, then the passage with its section."""
+    instead = F.when(F.size("alternatives") > 0, F.concat(F.lit(" | instead: "), F.array_join("alternatives", " / "))).otherwise("")
+    only = F.when(F.col("condition") != "", F.concat(F.lit(" | only "), "condition")).otherwise("")
+    line = F.concat(F.col("rank").cast("string"), F.lit(". "), "term", F.lit(" ["), "category", F.lit("] x"), F.col("hit_count").cast("string"), instead, only)
+    per_window = hints.groupBy("doc_id", "window_idx").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
+    terms = F.concat(F.lit(PROMPT_TERMS + "\n"), F.array_join(F.col("lines")["line"], "\n"), F.lit("\n"))
+    source = F.when(F.col("heading_path") != "", F.concat(F.lit(' from "'), "heading_path", F.lit('"'))).otherwise("")
     prompt = F.concat(
-        section, F.lit("WINDOW TEXT:\n"), "text", F.lit("\n\n"), hint_block, F.lit("\n\n" + _PROMPT_TAIL)
+        F.lit(PROMPT_TASK + "\n"), F.coalesce(terms, F.lit("")), F.lit("\nPassage"), source, F.lit(":\n<passage>\n"), "text", F.lit("\n</passage>\n")
     )
-    return joined.select("doc_id", "window_idx", prompt.alias("prompt"))
+    return windows.join(per_window, ["doc_id", "window_idx"], "left").select("doc_id", "window_idx", prompt.alias("prompt"))

@@ -17,7 +17,6 @@ from ..functions.spans import MARK, gap_spans, scan
 from ..functions.text import WS, lit_let
 
 DEFAULT_WINDOW_TOKENS = 1800
-DEFAULT_MAX_WINDOWS = 10
 HEADING_MAX_WORDS = 12
 
 # Abbreviations that do not end a sentence.
@@ -299,9 +298,15 @@ def guard_verdicts(documents: DataFrame) -> DataFrame:
     )
 
 
-def guard_window_cap(parsed: DataFrame, max_windows: int = DEFAULT_MAX_WINDOWS) -> DataFrame:
-    """Keep documents of at most ``max_windows`` windows (parsed rows hold the array)."""
-    return parsed.filter(F.size("windows") <= max_windows)
+def guard_window_cap(parsed: DataFrame, max_windows: int | None = None) -> DataFrame:
+    """Keep documents of at most ``max_windows`` windows (parsed rows hold the array); all of them without a cap."""
+    return parsed if max_windows is None else parsed.filter(F.size("windows") <= max_windows)
+
+
+def window_cap_rejects(parsed: DataFrame, max_windows: int) -> DataFrame:
+    """The documents that a cap keeps out, with the reason and their number of windows."""
+    over = parsed.select("doc_id", F.size("windows").alias("n_windows")).filter(F.col("n_windows") > max_windows)
+    return over.select("doc_id", F.lit("too_many_windows").alias("reason"), "n_windows")
 
 
 # ---- parsed documents and their tables -------------------------------------------------

@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.sizes import fits
+from ..functions.sizes import cut_lineage, fits
 from ..functions.vectors import MAX_BROADCAST_QUERIES, cosine, hash_embed, top_k
 
 OVER_FETCH = 5
 MIN_RUNG_DOCS = 3
 MAX_YEAR = 2026
-DESCRIPTION_LIMIT = 2000
 TITLE_LIMIT = 200
 
 
@@ -23,12 +22,22 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, *, max_broad
 
 
 def topk_by_doc(queries: DataFrame, vectors: DataFrame, k: int = 3, *, max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    """Fetch 5k, keep the best hit per document (own id where it has none), then the first k.
+    """The k best documents per query, each by its best vector (its own id where it has no document).
+
+    Best vectors are fetched until every query has k documents or no vector is left, twice as many each time; so a document
+    with very many of the best vectors hides no other.
 
     ``vectors`` also has ``doc_key`` (nullable) and may carry ``payload`` columns.
     """
     extra = [c for c in vectors.columns if c not in ("id", "ord", "embedding")]
-    hits = top_k(queries, vectors, k * OVER_FETCH, max_broadcast=max_broadcast)
+    fetch, doc_of = k * OVER_FETCH, F.coalesce(F.nullif(F.col("doc_key").cast("string"), F.lit("")), F.col("id").cast("string"))
+    keys = vectors.select("ord", doc_of.alias("__doc"))
+    while True:
+        hits = cut_lineage(top_k(queries, vectors, fetch, max_broadcast=max_broadcast))
+        short = hits.join(keys, "ord").groupBy("query_id").agg(F.countDistinct("__doc").alias("d"), F.count(F.lit(1)).alias("n"))
+        if short.filter((F.col("d") < k) & (F.col("n") >= fetch)).isEmpty():
+            break
+        fetch *= 2
     # Only fetched ids pick up their attributes: at most 5k rows per query, so with few queries
     # the hits travel and the vector table is not shuffled.
     few = fits(queries, max_broadcast)
@@ -49,14 +58,13 @@ def distance_to_similarity(distance: Column) -> Column:
     return F.lit(1.0) - distance.cast("double")
 
 
-def describe_docs(docs: DataFrame, description: str = "description", limit: int = DESCRIPTION_LIMIT) -> DataFrame:
-    """Join list-valued descriptions, undo HTML escapes, drop blank ones, cut to the limit."""
+def describe_docs(docs: DataFrame, description: str = "description", limit: int | None = None) -> DataFrame:
+    """Join list-valued descriptions, undo HTML escapes, drop blank ones; cut them only where a limit is given."""
     is_list = dict(docs.dtypes)[description].startswith("array")
     joined = F.array_join(description, "; ") if is_list else F.coalesce(F.col(description), F.lit(""))
     text = T.html_unescape(joined)
-    return docs.withColumn("description_text", text).filter(~T.is_blank(F.col("description_text"))).withColumn(
-        "description_text", F.left("description_text", F.lit(limit))
-    )
+    described = docs.withColumn("description_text", text).filter(~T.is_blank(F.col("description_text")))
+    return described if limit is None else described.withColumn("description_text", F.left("description_text", F.lit(limit)))
 
 
 # ---- query compiler -----------------------------------------------------------------------
@@ -117,12 +125,13 @@ def _contains_any(text: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms], F.lit(False))
 
 
-def _rungs(request: dict, text: Column, peer: Column, year: Column, max_year: int) -> list[Column]:
-    def clean(t: str) -> str:
-        return t.translate(str.maketrans("", "", '"():[]')).strip().lower()
+def _clean(term: str) -> str:
+    return term.translate(str.maketrans("", "", '"():[]')).strip().lower()
 
-    phrases = [p for p in map(clean, request["phrases"]) if p]
-    any_of = [t for t in map(clean, request["any_of"]) if t]
+
+def _rungs(request: dict, text: Column, peer: Column, year: Column, max_year: int) -> list[Column]:
+    phrases = [p for p in map(_clean, request["phrases"]) if p]
+    any_of = [t for t in map(_clean, request["any_of"]) if t]
     variants = list(dict.fromkeys(v for t in any_of for v in ([t] if " " in t or t.endswith("s") else [t, t + "s"])))
     relaxed = _contains_all(text, phrases)
     if variants:
@@ -148,8 +157,9 @@ def search_ladder(
     described = describe_docs(corpus)
     low = F.lower("description_text")
     year = F.expr("try_cast(year AS INT)")
-    asked = [r for r in requests if r["phrases"] or r["any_of"]]
-    tags = []
+    # a request that is blank once cleaned has no answer
+    asked = [r for r in requests if any(_clean(t) for t in (*r["phrases"], *r["any_of"]))]
+    tags = [F.lit(None).cast("struct<request_id:int,rung:int>")] if not asked else []
     for r in asked:
         strict, relaxed, broad = _rungs(r, low, F.col("peerreviewed"), year, max_year)
         for rung, ok in ((1, strict), (2, relaxed), (3, broad)):
@@ -171,7 +181,7 @@ def search_ladder(
 
 
 def simple_search_rerank(queries: list[tuple[int, str]], corpus: DataFrame, *, k: int = 3, dim: int = 64) -> DataFrame:
-    """One broad search per query text, the first 2k rows by doc_id, re-ranked, top k."""
+    """One broad search per query text, all its matches ranked, top k."""
     requests = [
         {"request_id": i, "phrases": [], "any_of": text.split(), "min_year": None} for i, text in queries if text.strip()
     ]
@@ -187,8 +197,6 @@ def simple_search_rerank(queries: list[tuple[int, str]], corpus: DataFrame, *, k
     rows = described.withColumn("m", F.explode(F.filter(tags, lambda t: t.isNotNull()))).select(
         "m.request_id", "m.query", "doc_id", "title", "year", "description_text"
     )
-    first = Window.partitionBy("request_id").orderBy("doc_id")
-    rows = rows.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= 2 * k).drop("__n")
     return rerank(rows, k, dim=dim)
 
 

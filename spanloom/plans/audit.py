@@ -12,7 +12,7 @@ from ..operators import candidates as C
 from ..operators import consolidate as K
 from ..operators import investigate as I
 from ..operators import report as R
-from ..operators.parse import DEFAULT_MAX_WINDOWS, DEFAULT_WINDOW_TOKENS
+from ..operators.parse import DEFAULT_WINDOW_TOKENS
 
 
 class Audit(NamedTuple):
@@ -27,7 +27,7 @@ class Audit(NamedTuple):
 
 def run_audit(
     documents: DataFrame, vectors: DataFrame, rules: Sequence[C.Rule] = C.DEFAULT_RULES, *,
-    window_tokens: int = DEFAULT_WINDOW_TOKENS, max_windows: int = DEFAULT_MAX_WINDOWS, live: DataFrame | None = None,
+    window_tokens: int = DEFAULT_WINDOW_TOKENS, max_windows: int | None = None, live: DataFrame | None = None,
     materialize: bool = False,
 ) -> Audit:
     """Audit every document of a table against an evidence store.

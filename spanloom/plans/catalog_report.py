@@ -18,13 +18,13 @@ from . import oracle as O
 from .audit import run_audit
 from .catalog_tables import hash_sql
 from .catalog_text import _CHUNK_SQL, _CLASSIFY_SQL, audited, documents, guarded, hits, passages
-from .inputs import MAX_WINDOWS, RULES, WINDOW_TOKENS, evidence_vectors, lexicon, raw_documents, table
+from .inputs import RULES, WINDOW_TOKENS, evidence_vectors, lexicon, raw_documents, table
 from .registry import query
 
 
 def audit(spark, sf):
     return run_audit(
-        documents(spark, sf), evidence_vectors(spark, sf), RULES, window_tokens=WINDOW_TOKENS, max_windows=MAX_WINDOWS, materialize=True,
+        documents(spark, sf), evidence_vectors(spark, sf), RULES, window_tokens=WINDOW_TOKENS, materialize=True,
     )
 
 
@@ -36,7 +36,7 @@ r15 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec
 rdoc AS (SELECT * FROM r15 QUALIFY row_number() OVER (PARTITION BY query, label ORDER BY r) = 1),
 ev AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY r) AS n FROM rdoc QUALIFY n <= 3),
 evq AS (SELECT query, max(score) AS top, count(*) AS n_ev, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY n) AS ids,
-  string_agg('- Evidence ' || vec_id || ' (' || (2000 + label) || ') — https://example.org/' || vec_id || chr(10), '' ORDER BY n) AS md FROM ev GROUP BY query),
+  string_agg('   - source: Evidence ' || vec_id || ', ' || (2000 + label) || ', https://example.org/' || vec_id || chr(10), '' ORDER BY n) AS md FROM ev GROUP BY query),
 inv AS (SELECT c.doc_id, c.cand_idx, 'cand' || lpad(c.cand_idx::VARCHAR, 4, '0') AS cand_id, c.quote, c.category, c.reason, c.char_start, c.char_end, e.query, e.top, e.n_ev, e.ids, e.md, 'confirmed' AS verdict,
   CASE WHEN top >= 0.3 THEN 'corroborated by retrieved corpus evidence [1]' ELSE 'weak evidence' END AS explanation, r.replacement AS rewrite,
   CASE WHEN top >= 0.5 THEN 'high' WHEN top >= 0.3 THEN 'medium' ELSE 'low' END AS confidence, top < 0.3 AS needs_human_review,
@@ -332,19 +332,19 @@ def _(spark, sf):
 
 _MD_SQL = f"""
 fo AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY retracted, cand_idx) AS no FROM decided),
-mk AS (SELECT doc_id, string_agg(chr(10) || '### ' || no || '. [' || category || '] "' || quote || '"' || chr(10) || chr(10) || '**Why:** ' || explanation || chr(10) || chr(10) || '**Evidence:**' || chr(10) || md || chr(10) ||
-  '**Suggested rewrite:** ''' || rewrite || '''' || chr(10) || chr(10) || '_confidence=' || confidence || CASE WHEN needs_human_review THEN ', needs human review' ELSE '' END || '_' || chr(10), '' ORDER BY no) AS kept FROM fo WHERE NOT retracted GROUP BY doc_id),
-mg AS (SELECT doc_id, string_agg(chr(10) || '- [' || category || '] "' || quote || '" — weak grounding — likely false positive' || chr(10), '' ORDER BY no) AS gone FROM fo WHERE retracted GROUP BY doc_id),
-mp AS (SELECT doc_id, string_agg('- **recurring ' || category || ' phrasing** (' || category || ') — ' || n || ' findings' || chr(10), '' ORDER BY pattern_ord) AS pt FROM pats GROUP BY doc_id),
-mh AS (SELECT doc_id, '{R.REPORT_TITLE}' || chr(10) || '**Windows:** ' || windows || ' · **Candidates:** ' || candidates || ' · **Confirmed:** ' || confirmed || ' · **Rejected:** ' || rejected || ' · **Retracted:** ' || retracted
-  || ' · **Needs human review:** ' || needs_human_review || chr(10) AS head FROM summ)"""
+mk AS (SELECT doc_id, string_agg(no || '. `' || quote || '`: ' || category || ' (' || confidence || ' confidence' || CASE WHEN needs_human_review THEN '; a person should look at it' ELSE '' END || ')' || chr(10)
+  || '   - reason: ' || explanation || chr(10) || '   - better: ' || rewrite || chr(10) || md, '' ORDER BY no) AS kept FROM fo WHERE NOT retracted GROUP BY doc_id),
+mg AS (SELECT doc_id, string_agg('- `' || quote || '` (' || category || '): weak grounding — likely false positive' || chr(10), '' ORDER BY no) AS gone FROM fo WHERE retracted GROUP BY doc_id),
+mp AS (SELECT doc_id, string_agg('- recurring ' || category || ' phrasing, ' || n || ' times (' || category || ')' || chr(10), '' ORDER BY pattern_ord) AS pt FROM pats GROUP BY doc_id),
+mh AS (SELECT doc_id, '{R.REPORT_TITLE}' || chr(10) || chr(10) || '| measure | count |' || chr(10) || '| --- | --- |' || chr(10)
+  || {" || ".join(f"'| {c.replace('_', ' ')} | ' || {c} || ' |' || chr(10)" for c in R.COUNTS)} AS head FROM summ)"""
 
 
 @query(
     "report_markdown",
     O.with_(*O.AUDIT, _INV_SQL, _MD_SQL)
-    + """SELECT mh.doc_id, head || CASE WHEN kept IS NULL THEN chr(10) || 'No inclusivity issues were confirmed in this document.' || chr(10) ELSE
-  coalesce(chr(10) || '## Recurring patterns' || chr(10) || pt, '') || chr(10) || '## Findings' || chr(10) || kept || coalesce(chr(10) || '## Retracted during review' || chr(10) || gone, '') END AS markdown
+    + """SELECT mh.doc_id, head || coalesce(chr(10) || '## Findings' || chr(10) || chr(10) || kept, chr(10) || 'Nothing was confirmed.' || chr(10))
+  || coalesce(chr(10) || '## Patterns' || chr(10) || chr(10) || pt, '') || coalesce(chr(10) || '## Withdrawn' || chr(10) || chr(10) || gone, '') AS markdown
   FROM mh LEFT JOIN mk USING (doc_id) LEFT JOIN mg USING (doc_id) LEFT JOIN mp USING (doc_id)""",
 )
 def _(spark, sf):

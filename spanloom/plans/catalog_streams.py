@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -18,8 +17,8 @@ from .registry import query
 
 def scratch(spark) -> str:
     """A new folder for sink and checkpoint, below the shared checkpoint folder if one is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    return f"{base}/stream-{uuid.uuid4().hex}"
 
 
 def stream(spark, sf, name):

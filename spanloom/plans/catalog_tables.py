@@ -484,7 +484,7 @@ for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("
     _UNESC = f"replace({_UNESC}, '{_a}', '{_b}')"
 
 
-@query("describe_docs", f"SELECT page_id, left({_UNESC}, 2000) AS description FROM pages WHERE {O.strip('html')} <> ''")
+@query("describe_docs", f"SELECT page_id, {_UNESC} AS description FROM pages WHERE {O.strip('html')} <> ''")
 def _(spark, sf):
     docs = table(spark, sf, "pages").withColumnRenamed("html", "description")
     return G.describe_docs(docs).select("page_id", F.col("description_text").alias("description"))
@@ -552,7 +552,7 @@ def _ladder_sql() -> str:
         text = " ".join([*r["phrases"], *r["any_of"]])
         for rung, cond in ((1, f"{allp}{anyv} AND peerreviewed = 'T'{year}"), (2, f"{allp}{anyv}"), (3, broad)):
             parts.append(f"SELECT {r['request_id']} AS request_id, {rung} AS rung, '{text}' AS query, doc_id, description FROM described WHERE {cond}")
-    return f"""{_CORPUS_SQL}, described AS (SELECT doc_id, peerreviewed, year, left({_UNESC.replace('html', 'chunk_text')}, 2000) AS description, lower(left({_UNESC.replace('html', 'chunk_text')}, 2000)) AS low
+    return f"""{_CORPUS_SQL}, described AS (SELECT doc_id, peerreviewed, year, {_UNESC.replace('html', 'chunk_text')} AS description, lower({_UNESC.replace('html', 'chunk_text')}) AS low
   FROM corpus WHERE {O.strip('chunk_text')} <> ''), hit AS ({' UNION ALL '.join(parts)}),
 chosen AS (SELECT request_id, min(rung) AS rung FROM (SELECT request_id, rung FROM hit GROUP BY ALL HAVING count(*) >= 3) GROUP BY 1),
 sv AS (SELECT h.*, {hash_sql('query')} AS qv, {hash_sql('description')} AS dv FROM hit h JOIN chosen USING (request_id, rung)),
@@ -583,11 +583,10 @@ def _(spark, sf):
 
 @query(
     "simple_search_rerank",
-    f"""WITH {_CORPUS_SQL}, described AS (SELECT doc_id, left({_UNESC.replace('html', 'chunk_text')}, 2000) AS description FROM corpus WHERE {O.strip('chunk_text')} <> ''),
+    f"""WITH {_CORPUS_SQL}, described AS (SELECT doc_id, {_UNESC.replace('html', 'chunk_text')} AS description FROM corpus WHERE {O.strip('chunk_text')} <> ''),
 m AS (SELECT 1 AS request_id, 'idiot license' AS query, * FROM described WHERE contains(lower(description), 'idiot') OR contains(lower(description), 'license') UNION ALL
   SELECT 2, 'worthless', * FROM described WHERE contains(lower(description), 'worthless')),
-f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY doc_id) <= 6),
-s AS (SELECT request_id, doc_id, list_cosine_similarity({hash_sql('query')}, {hash_sql('description')}) AS score FROM f)
+s AS (SELECT request_id, doc_id, list_cosine_similarity({hash_sql('query')}, {hash_sql('description')}) AS score FROM m)
 SELECT request_id, doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, doc_id) <= 3""",
 )
 def _(spark, sf):

@@ -18,9 +18,9 @@ def guarded(spark, sf):
     return P.guard_english(P.guard_nonempty(documents(spark, sf)))
 
 
-def capped_windows(spark, sf):
-    """Windows of documents within the cap, without their text."""
-    parsed = P.guard_window_cap(P.parse_documents(guarded(spark, sf), WINDOW_TOKENS, sentences=False), MAX_WINDOWS)
+def windows_of(spark, sf):
+    """Windows of all documents that pass the guards."""
+    parsed = P.parse_documents(guarded(spark, sf), WINDOW_TOKENS, sentences=False)
     return parsed.select("doc_id", F.inline("windows"))
 
 
@@ -29,7 +29,7 @@ def hits(spark, sf):
 
 
 def audited(spark, sf):
-    return C.audit_documents(documents(spark, sf), RULES, window_tokens=WINDOW_TOKENS, max_windows=MAX_WINDOWS)
+    return C.audit_documents(documents(spark, sf), RULES, window_tokens=WINDOW_TOKENS)
 
 
 def span_list(col):
@@ -68,12 +68,21 @@ def _(spark, sf):
     return v.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("guard_window_cap", O.with_(O.DOCS, O.blocks(), O.SENTENCES, O.windows()) + "SELECT doc_id, n_windows FROM capped")
+@query("guard_window_cap", O.with_(O.DOCS, O.blocks(), O.SENTENCES, O.windows()) + f"SELECT doc_id, n_windows FROM capped WHERE n_windows <= {MAX_WINDOWS}")
 def _(spark, sf):
     parsed = P.parse_documents(guarded(spark, sf), WINDOW_TOKENS, sentences=False)
     return P.guard_window_cap(parsed, MAX_WINDOWS).select("doc_id", F.size("windows").alias("n_windows"))
 
 
+@query(
+    "window_cap_rejects",
+    O.with_(O.DOCS, O.blocks(), O.SENTENCES, O.windows()) + f"SELECT doc_id, 'too_many_windows' AS reason, n_windows FROM capped WHERE n_windows > {MAX_WINDOWS}",
+)
+def _(spark, sf):
+    return P.window_cap_rejects(P.parse_documents(guarded(spark, sf), WINDOW_TOKENS, sentences=False), MAX_WINDOWS)
+
+
+
 @query("document_scan", "SELECT doc_id, text FROM documents")
 def _(spark, sf):
     return raw_documents(spark, sf).select("doc_id", "text")
@@ -263,12 +272,12 @@ _WIN = (O.DOCS, O.blocks(), O.SENTENCES, O.windows(), O.hits(), O.HINTS)
 
 @query("hits_in_window", O.with_(*_WIN) + "SELECT doc_id, window_idx, term, char_start, char_end FROM hiw")
 def _(spark, sf):
-    return M.hits_in_window(hits(spark, sf), capped_windows(spark, sf)).select("doc_id", "window_idx", "term", "char_start", "char_end")
+    return M.hits_in_window(hits(spark, sf), windows_of(spark, sf)).select("doc_id", "window_idx", "term", "char_start", "char_end")
 
 
 @query("window_hints", O.with_(*_WIN) + "SELECT doc_id, window_idx, term, CAST(rank AS INTEGER) AS rank, doc_count, hit_count FROM hints")
 def _(spark, sf):
-    return M.window_hints(hits(spark, sf), capped_windows(spark, sf)).select(
+    return M.window_hints(hits(spark, sf), windows_of(spark, sf)).select(
         "doc_id", "window_idx", "term", "rank", "doc_count", "hit_count"
     )
 
@@ -279,7 +288,7 @@ def _(spark, sf):
     + """SELECT doc_id, window_idx, term, category, hit_count, array_to_string(samples, ',') AS sample_offsets, array_to_string(alternatives, ',') AS alternatives, condition FROM hs""",
 )
 def _(spark, sf):
-    return M.hint_samples(hits(spark, sf), capped_windows(spark, sf)).select(
+    return M.hint_samples(hits(spark, sf), windows_of(spark, sf)).select(
         "doc_id", "window_idx", "term", "category", "hit_count", pairs(F.col("sample_offsets"), "start", "end").alias("sample_offsets"),
         F.array_join("alternatives", ",").alias("alternatives"), "condition",
     )
@@ -309,23 +318,23 @@ def _verdicts(hints):
   ON v.doc_id = h.doc_id AND v.window_idx = h.window_idx AND v.term = h.term""",
 )
 def _(spark, sf):
-    hints = M.window_hints(hits(spark, sf), capped_windows(spark, sf))
+    hints = M.window_hints(hits(spark, sf), windows_of(spark, sf))
     return M.hint_adjudication(hints, _verdicts(hints)).select("doc_id", "window_idx", "term", "verdict", "filled")
 
 
-_LINE_SQL = """'- "' || term || '" (category: ' || category || ', count in window: ' || hit_count || ', alternatives: ' ||
-  CASE WHEN len(alternatives) > 0 THEN array_to_string(alternatives, ', ') ELSE 'none' END || CASE WHEN condition <> '' THEN '; condition: ' || condition ELSE '' END || ')'"""
+_LINE_SQL = """rank || '. ' || term || ' [' || category || '] x' || hit_count || CASE WHEN len(alternatives) > 0 THEN ' | instead: ' || array_to_string(alternatives, ' / ') ELSE '' END
+  || CASE WHEN condition <> '' THEN ' | only ' || condition ELSE '' END"""
 
 
 @query(
     "audit_prompt",
     O.with_(*_WIN, f"hl AS (SELECT doc_id, window_idx, string_agg({_LINE_SQL}, {O.NL} ORDER BY rank) AS lines FROM hints GROUP BY doc_id, window_idx)")
-    + f"""SELECT w.doc_id, w.window_idx, CASE WHEN heading_path <> '' THEN 'Section: ' || heading_path || {O.NL} ELSE '' END || 'WINDOW TEXT:' || {O.NL} || text || {O.NL} || {O.NL} ||
-  CASE WHEN lines IS NULL THEN '{M._NO_HINTS}' ELSE '{M._HINT_HEAD}' || {O.NL} || lines END || {O.NL} || {O.NL} || '{M._PROMPT_TAIL}' AS prompt
+    + f"""SELECT w.doc_id, w.window_idx, '{M.PROMPT_TASK}' || {O.NL} || coalesce('{M.PROMPT_TERMS}' || {O.NL} || lines || {O.NL}, '') || {O.NL}
+  || 'Passage' || CASE WHEN heading_path <> '' THEN ' from "' || heading_path || '"' ELSE '' END || ':' || {O.NL} || '<passage>' || {O.NL} || text || {O.NL} || '</passage>' || {O.NL} AS prompt
   FROM windows w LEFT JOIN hl ON hl.doc_id = w.doc_id AND hl.window_idx = w.window_idx""",
 )
 def _(spark, sf):
-    windows = capped_windows(spark, sf)
+    windows = windows_of(spark, sf)
     return M.audit_prompts(windows, M.window_hints(hits(spark, sf), windows))
 
 
@@ -334,7 +343,7 @@ def _(spark, sf):
 
 @query("rule_detect", O.with_(*O.AUDIT) + "SELECT doc_id, window_idx, pos, quote, category, reason FROM placed")
 def _(spark, sf):
-    parsed = P.guard_window_cap(P.parse_documents(guarded(spark, sf), WINDOW_TOKENS, sentences=False), MAX_WINDOWS)
+    parsed = P.parse_documents(guarded(spark, sf), WINDOW_TOKENS, sentences=False)
     return parsed.select("doc_id", F.inline(C.rule_detect_array(F.col("windows"), RULES))).select(
         "doc_id", "window_idx", "pos", "quote", "category", "reason"
     )
@@ -401,7 +410,7 @@ _VER = "SELECT doc_id, window_idx, pos, quote, char_start, char_end, accepted FR
 
 @query("quote_accept", O.with_(*O.AUDIT) + _VER)
 def _(spark, sf):
-    parsed = P.guard_window_cap(P.parse_documents(guarded(spark, sf), WINDOW_TOKENS, sentences=False), MAX_WINDOWS)
+    parsed = P.parse_documents(guarded(spark, sf), WINDOW_TOKENS, sentences=False)
     found = C.verify_array(F.col("text"), C.rule_detect_array(F.col("windows"), RULES))
     return parsed.select("doc_id", F.inline(found)).select("doc_id", "window_idx", "pos", "quote", "char_start", "char_end", "accepted")
 
@@ -492,7 +501,7 @@ _STATS_SQL = """st AS (SELECT c.doc_id, c.n_windows AS windows, coalesce(h.n, 0)
 
 def _stats(spark, sf):
     a = audited(spark, sf)
-    windows = capped_windows(spark, sf).drop("text")
+    windows = windows_of(spark, sf).drop("text")
     hints = M.window_hints(hits(spark, sf), windows)
     n = hints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hints"))
     return a, windows, hints, C.audit_stats(a, C.candidates_of(a), n)
@@ -514,7 +523,7 @@ UNION ALL SELECT doc_id, windows, 'audit_summary', '{"windows":' || windows || '
 )
 def _(spark, sf):
     a, windows, hints, stats = _stats(spark, sf)
-    parsed = P.guard_window_cap(P.parse_documents(guarded(spark, sf), WINDOW_TOKENS, sentences=False), MAX_WINDOWS)
+    parsed = P.parse_documents(guarded(spark, sf), WINDOW_TOKENS, sentences=False)
     raw = parsed.select("doc_id", F.inline(C.rule_detect_array(F.col("windows"), RULES))).select("doc_id", "window_idx", "pos")
     return C.audit_trace(windows, hints, raw, stats).select("doc_id", "seq", "node", "detail")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from ..functions.text import WS_CHARS
 from ..operators.parse import ABBREVIATIONS
-from .inputs import LEXICON, MAX_WINDOWS, RULES, WINDOW_TOKENS
+from .inputs import LEXICON, RULES, WINDOW_TOKENS
 
 WS = (
     "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -126,7 +126,7 @@ all_windows AS (SELECT ow.doc_id, CAST(ow.w AS INTEGER) AS window_idx, CASE WHEN
   CAST(coalesce(l.char_start, s0) AS INTEGER) AS char_start, CAST(e0 AS INTEGER) AS char_end, coalesce(hs.text, '') AS heading_path,
   CASE WHEN l.text IS NULL THEN bi ELSE CAST(l.block_idx AS VARCHAR) || ',' || bi END AS block_idxs, CAST(coalesce(l.char_end, s0) AS INTEGER) AS overlap_char_end
   FROM ow LEFT JOIN lap l ON l.doc_id = ow.doc_id AND l.w = ow.w LEFT JOIN segs hs ON hs.doc_id = ow.doc_id AND hs.i = ow.h),
-capped AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n_windows FROM all_windows GROUP BY doc_id HAVING count(*) <= {MAX_WINDOWS}),
+capped AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n_windows FROM all_windows GROUP BY doc_id),
 windows AS (SELECT a.* FROM all_windows a SEMI JOIN capped USING (doc_id))"""
 
 

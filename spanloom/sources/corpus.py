@@ -16,6 +16,8 @@ CORPUS_COLUMNS = (
     "chunk_id", "source", "doc_id", "title", "content_type", "chunk_text", "subject", "year", "peerreviewed", "url", "license",
 )
 TEXT_LIMIT = 8000
+#: Bytes up to which an input is dealt out to all cores.
+SMALL_INPUT = 1 << 28
 TITLE_LIMIT = 200
 BATCH_SIZE = 64
 
@@ -31,14 +33,13 @@ EXEMPLAR_ROWS = (2, 6, 10, 16, 24, 28, 30, 35, 42, 45, 56, 64, 78)
 
 
 def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Use every core when the input has fewer files than there are cores.
+    """Use every core for a small input.
 
-    A single small file is one task however long its texts are. Inputs of many files, the
-    normal case on a cluster, are left as they are: no shuffle. Spreading by the key spares
-    later groupings by it their exchange.
+    A small file is one task however many cores there are. Inputs above ``SMALL_INPUT`` bytes, by the size of their files, are
+    left as they are, so nothing large is ever shuffled by this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size.bitLength() <= SMALL_INPUT.bit_length() - 1 else df
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -69,11 +70,11 @@ def text_truncate(col: Column, limit: int = TEXT_LIMIT) -> Column:
     return F.left(col, F.lit(limit))
 
 
-def corpus_project(rows: DataFrame, limit: int = TEXT_LIMIT) -> DataFrame:
-    """Identifier, text to embed and metadata of each corpus row."""
+def corpus_project(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Identifier, text to embed and metadata of each corpus row; the text is cut only where a limit is given."""
     return rows.select(
         F.concat(F.lit("eric_"), F.coalesce("chunk_id", F.lit("?"))).alias("id"),
-        text_truncate(F.col("chunk_text"), limit).alias("text"),
+        (F.col("chunk_text") if limit is None else text_truncate(F.col("chunk_text"), limit)).alias("text"),
         F.coalesce("source", F.lit("eric")).alias("source"), F.coalesce("doc_id", F.lit("")).alias("doc_id"),
         F.left(F.coalesce("title", F.lit("")), F.lit(TITLE_LIMIT)).alias("title"),
         F.coalesce("year", F.lit("")).alias("year"), F.coalesce("url", F.lit("")).alias("url"),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import vectors as V
-from spanloom.functions.responses import first_json, json_sequence
+from spanloom.functions.responses import response_json, response_sequence
 from spanloom.operators import candidates as C
 from spanloom.operators import consolidate as K
 from spanloom.operators import investigate as I
@@ -74,14 +74,19 @@ def test_model_candidates_are_verified(spark, docs):
     "text, want",
     [('{"a": 1}', {"a": 1}), ('x ```json\n{"a": 2}\n``` y', {"a": 2}), ('pre {bad} {"a": {"b": "}"}} post', None), ("", None), ("no { json", None), ('see {"a": 3} ok', {"a": 3})],
 )
-def test_first_json(text, want):
-    got = first_json(text)
+def test_first_json(spark, text, want):
+    got = spark.createDataFrame([(text,)], "raw string").select(response_json(F.col("raw"))).first()[0]
     assert (json.loads(got) if got else None) == want or (want is None and text.startswith("pre"))
 
 
-def test_json_sequence():
-    assert json.loads(json_sequence('{"a": 1}\n{"b": 2}')) == [{"a": 1}, {"b": 2}]
-    assert json_sequence('{"a": 1} trailing') is None and json_sequence("text") is None
+def test_json_sequence(spark):
+    cases = {
+        '{"a": 1}\n{"b": 2}': [{"a": 1}, {"b": 2}], '{"a": "x} {y"}{"b": [1, 2]} [3]': [{"a": "x} {y"}, {"b": [1, 2]}, [3]], '1 2\n"a" "b\\" c" {"d":\n 1}': [1, 2, "a", 'b" c', {"d": 1}],
+        ' {"a": [1,\n 2]} ': {"a": [1, 2]}, "[1]\n": [1], "": None, '{"a": 1} trailing': None, "text": None, '{"a": 1} {"b"': None, None: None, '{"a": 1}\n{"b": 2}\n': [{"a": 1}, {"b": 2}],
+    }
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(cases)], "i int, raw string").select("i", response_sequence(F.col("raw")).alias("got")).collect()
+    for r in rows:
+        assert (json.loads(r.got) if r.got else None) == list(cases.values())[r.i], list(cases)[r.i]
 
 
 def test_run_audit_end_to_end(spark, docs):
@@ -96,7 +101,7 @@ def test_run_audit_end_to_end(spark, docs):
     summary = {r.doc_id: r for r in a.summary.collect()}
     assert summary[0].confirmed == 3 and summary[1].confirmed == 0
     md = {r.doc_id: r.markdown for r in R.report_markdown(a.summary, a.findings, a.patterns).collect()}
-    assert "No inclusivity issues" in md[1] and "## Findings" in md[0]
+    assert "Nothing was confirmed." in md[1] and "## Findings" in md[0]
     report = json.loads(R.report_json(a.summary, a.findings, a.patterns).filter("doc_id = 0").first().report)
     assert len(report["findings"]) == 3 and set(report["findings"][0]) >= {"offsets", "evidence", "retraction_rationale"}
 

@@ -56,4 +56,13 @@ def test_every_hint_gets_one_verdict(spark, docs, lexicon):
     got = {r.term: (r.verdict, r.filled) for r in M.hint_adjudication(hints, v).collect()}
     assert got == {"he": ("flag", False), "his": ("clean", False), "man": ("clean", True)}
     prompt = M.audit_prompts(P.window_table(d), hints).first().prompt
-    assert "WINDOW TEXT:\nhe and his man" in prompt and prompt.count("\n- ") == 3
+    assert "<passage>\nhe and his man\n</passage>" in prompt and all(f"\n{i}. " in prompt for i in (1, 2, 3))
+
+
+def test_lexicon_may_be_empty_upper_case_or_repeated(spark, docs, lexicon):
+    d = docs("The Chairman met a chairman")
+    none = lexicon(("x", "g", [], "", "")).limit(0)
+    assert M.lexicon_hits(d, none).count() == 0 and M.document_lookup(d, none).count() == 0
+    twice = lexicon(("Chairman", "first", [], "", ""), ("chairman", "second", [], "", ""), (" ", "blank", [], "", ""))
+    assert [(r.term, r.category) for r in M.lexicon_hits(d, twice).collect()] == [("chairman", "first")] * 2
+    assert M.document_lookup(d, twice).count() == 2
