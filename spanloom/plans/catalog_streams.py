@@ -66,7 +66,7 @@ def _(spark, sf):
     "ingest_microbatch",
     O.with_(_CORPUS_SQL)
     + f"""SELECT id, n_chars, round(raw[1] / sqrt(list_sum(list_transform(raw, lambda q: q * q))), 6) AS first_value FROM
-  (SELECT 'eric_' || chunk_id AS id, length(left(chunk_text, 8000)) AS n_chars, {hash_sql('left(chunk_text, 8000)')} AS raw FROM corpus WHERE {O.strip('chunk_text')} <> '')""",
+  (SELECT 'eric_' || chunk_id AS id, length(chunk_text) AS n_chars, {hash_sql('chunk_text')} AS raw FROM corpus WHERE {O.strip('chunk_text')} <> '')""",
 )
 def _(spark, sf):
     folder = scratch(spark)

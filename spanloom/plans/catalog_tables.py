@@ -54,7 +54,7 @@ def _(spark, sf):
 @query(
     "corpus_project",
     O.with_(_CORPUS_SQL)
-    + f"""SELECT 'eric_' || chunk_id AS id, left(chunk_text, 8000) AS text, source, doc_id, left(title, 200) AS title, year, url FROM corpus WHERE {O.strip('chunk_text')} <> ''""",
+    + f"""SELECT 'eric_' || chunk_id AS id, chunk_text AS text, source, doc_id, left(title, 200) AS title, year, url FROM corpus WHERE {O.strip('chunk_text')} <> ''""",
 )
 def _(spark, sf):
     return S.corpus_project(S.corpus_scan(corpus_rows(spark, sf)))
@@ -609,7 +609,7 @@ def _(spark, sf):
 
 @query(
     "steps_response_parse",
-    """SELECT event_id, CASE event_type WHEN 'click' THEN '[' || props || ', {"u": ' || user_id || '}]' WHEN 'error' THEN props || ' tail' ELSE props END AS response_value, event_type <> 'error' AS is_json FROM events""",
+    """SELECT event_id, CASE event_type WHEN 'click' THEN '[' || props || ',{"u": ' || user_id || '}]' WHEN 'error' THEN props || ' tail' ELSE props END AS response_value, event_type <> 'error' AS is_json FROM events""",
 )
 def _(spark, sf):
     t = F.col("event_type")

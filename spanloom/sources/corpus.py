@@ -39,7 +39,7 @@ def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
     left as they are, so nothing large is ever shuffled by this.
     """
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size.bitLength() <= SMALL_INPUT.bit_length() - 1 else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if int(size) <= SMALL_INPUT else df
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
