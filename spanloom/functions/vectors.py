@@ -125,10 +125,16 @@ def _scan_with_queries(q: DataFrame, v: DataFrame, k: int, schema: str) -> DataF
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, matrix = shared.value
+        best = None
         for b in batches:
             for at in range(0, len(b), BLOCK_ROWS):
                 s = b.iloc[at : at + BLOCK_ROWS]
-                yield _best(query_ids, matrix, s["id"].tolist(), s["ord"].to_numpy(), _matrix(s["embedding"]), k)
+                found = _best(query_ids, matrix, s["id"].tolist(), s["ord"].to_numpy(), _matrix(s["embedding"]), k)
+                # a task keeps k rows per query, however many slices it reads
+                both = found if best is None else pd.concat([best, found])
+                best = both.sort_values(["score", "ord"], ascending=[False, True]).groupby("query_id", sort=False).head(k)
+        if best is not None:
+            yield best
 
     return v.mapInPandas(score, schema)
 
