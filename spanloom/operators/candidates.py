@@ -168,7 +168,7 @@ def find_quote(text: Column, quote: Column, search_start: Column) -> Column:
     def loose() -> Column:
         pattern = F.concat(F.lit("(?s)\\A(.*?)("), T.phrase_regex(quote), F.lit(")"))
         tail = F.substring(text, search_start + 1, F.length(text))
-        gap = F.regexp_extract(tail, pattern, F.lit(1)) if False else F.call_function("regexp_extract", tail, pattern, F.lit(1))
+        gap = F.call_function("regexp_extract", tail, pattern, F.lit(1))
         hit = F.call_function("regexp_extract", tail, pattern, F.lit(2))
         return lit_let(
             F.struct(F.length(gap).alias("g"), F.length(hit).alias("h")),
