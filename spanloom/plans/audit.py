@@ -28,7 +28,7 @@ class Audit(NamedTuple):
 def run_audit(
     documents: DataFrame, vectors: DataFrame, rules: Sequence[C.Rule] = C.DEFAULT_RULES, *,
     window_tokens: int = DEFAULT_WINDOW_TOKENS, max_windows: int | None = None, live: DataFrame | None = None,
-    materialize: bool = False,
+    materialize: bool = False, policy: I.Policy = I.Policy(),
 ) -> Audit:
     """Audit every document of a table against an evidence store.
 
@@ -41,7 +41,7 @@ def run_audit(
     if materialize:
         audited = cut_lineage(audited)
     candidates = C.candidates_of(audited)
-    investigations = I.investigate(candidates, vectors, rules, live=live)
+    investigations = I.investigate(candidates, vectors, rules, live=live, policy=policy)
     if materialize:
         investigations = cut_lineage(investigations)
     decided = K.retract_first_low(investigations)

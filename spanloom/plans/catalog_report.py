@@ -18,13 +18,13 @@ from . import oracle as O
 from .audit import run_audit
 from .catalog_tables import hash_sql
 from .catalog_text import _CHUNK_SQL, _CLASSIFY_SQL, audited, documents, guarded, hits, passages
-from .inputs import RULES, WINDOW_TOKENS, evidence_vectors, lexicon, raw_documents, table
+from .inputs import POLICY, RULES, WINDOW_TOKENS, evidence_vectors, lexicon, raw_documents, table
 from .registry import query
 
 
 def audit(spark, sf):
     return run_audit(
-        documents(spark, sf), evidence_vectors(spark, sf), RULES, window_tokens=WINDOW_TOKENS, materialize=True,
+        documents(spark, sf), evidence_vectors(spark, sf), RULES, window_tokens=WINDOW_TOKENS, materialize=True, policy=POLICY,
     )
 
 
@@ -37,16 +37,18 @@ rdoc AS (SELECT * FROM r15 QUALIFY row_number() OVER (PARTITION BY query, label
 ev AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY r) AS n FROM rdoc QUALIFY n <= 3),
 evq AS (SELECT query, max(score) AS top, count(*) AS n_ev, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY n) AS ids,
   string_agg('   - source: Evidence ' || vec_id || ', ' || (2000 + label) || ', https://example.org/' || vec_id || chr(10), '' ORDER BY n) AS md FROM ev GROUP BY query),
-inv AS (SELECT c.doc_id, c.cand_idx, 'cand' || lpad(c.cand_idx::VARCHAR, 4, '0') AS cand_id, c.quote, c.category, c.reason, c.char_start, c.char_end, e.query, e.top, e.n_ev, e.ids, e.md, 'confirmed' AS verdict,
-  CASE WHEN top >= 0.3 THEN 'corroborated by retrieved corpus evidence [1]' ELSE 'weak evidence' END AS explanation, r.replacement AS rewrite,
-  CASE WHEN top >= 0.5 THEN 'high' WHEN top >= 0.3 THEN 'medium' ELSE 'low' END AS confidence, top < 0.3 AS needs_human_review,
-  CAST((length(d.ft) - length(replace(lower(d.ft), lower(c.quote), ''))) / length(c.quote) AS INTEGER) AS n_occ
+judg AS (SELECT c.doc_id, c.cand_idx, 'cand' || lpad(c.cand_idx::VARCHAR, 4, '0') AS cand_id, c.quote, c.category, c.reason, c.char_start, c.char_end, e.query, e.top, e.n_ev, e.ids, e.md, r.replacement,
+  contains(lower(c.quote), '{POLICY.technical}') AS tech, c.n_occ AS seen, CAST((length(d.ft) - length(replace(lower(d.ft), lower(c.quote), ''))) / length(c.quote) AS INTEGER) AS spread
   FROM cands c JOIN evq e ON e.query = c.category || ': ' || c.quote JOIN rules r ON r.word = lower(c.quote) JOIN docs d ON d.doc_id = c.doc_id),
-decided AS (SELECT *, coalesce(cand_idx = min(cand_idx) FILTER (confidence = 'low') OVER (PARTITION BY doc_id), false) AS retracted FROM inv),
+inv AS (SELECT * EXCLUDE (replacement, seen, spread, tech), CASE WHEN tech THEN 'rejected' ELSE 'confirmed' END AS verdict,
+  CASE WHEN tech THEN 'technical usage in context' WHEN top >= {POLICY.sufficient} THEN 'corroborated by retrieved corpus evidence [1]' ELSE 'weak evidence' END AS explanation, CASE WHEN tech THEN '' ELSE replacement END AS rewrite,
+  CASE WHEN tech THEN 'medium' WHEN top >= {POLICY.strong} THEN 'high' WHEN top >= {POLICY.sufficient} THEN 'medium' ELSE 'low' END AS confidence, NOT tech AND top < {POLICY.sufficient} AS needs_human_review,
+  CAST(CASE WHEN tech THEN seen ELSE spread END AS INTEGER) AS n_occ FROM judg),
+decided AS (SELECT *, coalesce(cand_idx = min(cand_idx) FILTER (confidence = 'low') OVER (PARTITION BY doc_id), false) AS retracted FROM inv WHERE verdict = 'confirmed'),
 pats AS (SELECT doc_id, category, min(cand_idx) AS pattern_ord, string_agg(cand_id, ',' ORDER BY cand_idx) AS finding_ids, count(*) AS n FROM decided WHERE NOT retracted GROUP BY doc_id, category HAVING count(*) >= 2),
-summ AS (SELECT c.doc_id, CAST(c.n_windows AS BIGINT) AS windows, coalesce(i.n, 0) AS candidates, coalesce(i.n, 0) AS confirmed, CAST(0 AS BIGINT) AS rejected, coalesce(i.ret, 0) AS retracted, coalesce(i.rev, 0) AS needs_human_review,
-  coalesce(p.n, 0) AS patterns FROM capped c LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (retracted) AS ret, count(*) FILTER (needs_human_review) AS rev FROM decided GROUP BY 1) i USING (doc_id)
-  LEFT JOIN (SELECT doc_id, count(*) AS n FROM pats GROUP BY 1) p USING (doc_id))"""
+summ AS (SELECT c.doc_id, CAST(c.n_windows AS BIGINT) AS windows, coalesce(i.n, 0) AS candidates, coalesce(i.ok, 0) AS confirmed, coalesce(i.rej, 0) AS rejected, coalesce(t.ret, 0) AS retracted, coalesce(i.rev, 0) AS needs_human_review,
+  coalesce(p.n, 0) AS patterns FROM capped c LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (verdict = 'confirmed') AS ok, count(*) FILTER (verdict = 'rejected') AS rej, count(*) FILTER (needs_human_review) AS rev FROM inv GROUP BY 1) i USING (doc_id)
+  LEFT JOIN (SELECT doc_id, count(*) FILTER (retracted) AS ret FROM decided GROUP BY 1) t USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM pats GROUP BY 1) p USING (doc_id))"""
 
 _AUDIT = O.with_(*O.AUDIT, _INV_SQL)
 
@@ -76,7 +78,7 @@ def _(spark, sf):
 
 @query(
     "investigation_stats",
-    _AUDIT + "SELECT doc_id, count(*) AS confirmed, CAST(0 AS BIGINT) AS rejected, count(*) FILTER (needs_human_review) AS needs_human_review, CAST(2 * count(*) AS BIGINT) AS total_llm_calls, count(*) AS investigations FROM inv GROUP BY doc_id",
+    _AUDIT + "SELECT doc_id, count(*) FILTER (verdict = 'confirmed') AS confirmed, count(*) FILTER (verdict = 'rejected') AS rejected, count(*) FILTER (needs_human_review) AS needs_human_review, CAST(2 * count(*) AS BIGINT) AS total_llm_calls, count(*) AS investigations FROM inv GROUP BY doc_id",
 )
 def _(spark, sf):
     return I.investigation_stats(audit(spark, sf).investigations)
@@ -210,7 +212,7 @@ def _(spark, sf):
 
 @query(
     "confirmed_only",
-    _AUDIT + "SELECT c.doc_id, count(i.doc_id) AS confirmed, count(*) FILTER (needs_human_review) AS needs_review, count(i.doc_id) = 0 AS skipped FROM capped c LEFT JOIN inv i USING (doc_id) GROUP BY c.doc_id",
+    _AUDIT + "SELECT c.doc_id, count(i.doc_id) AS confirmed, count(*) FILTER (needs_human_review) AS needs_review, count(i.doc_id) = 0 AS skipped FROM capped c LEFT JOIN decided i USING (doc_id) GROUP BY c.doc_id",
 )
 def _(spark, sf):
     a = audit(spark, sf)
@@ -220,7 +222,7 @@ def _(spark, sf):
 @query(
     "finding_compact",
     _AUDIT
-    + """SELECT i.doc_id, i.cand_id, i.category, i.confidence, i.n_occ AS occurrences, i.quote, (SELECT string_agg('Evidence ' || vec_id, '; ' ORDER BY n) FROM ev WHERE ev.query = i.query AND n <= 2) AS titles FROM inv i""",
+    + """SELECT i.doc_id, i.cand_id, i.category, i.confidence, i.n_occ AS occurrences, i.quote, (SELECT string_agg('Evidence ' || vec_id, '; ' ORDER BY n) FROM ev WHERE ev.query = i.query AND n <= 2) AS titles FROM decided i""",
 )
 def _(spark, sf):
     return K.finding_compact(audit(spark, sf).investigations).select(
