@@ -16,7 +16,7 @@ from ..operators import parse as P
 from ..operators import report as R
 from . import oracle as O
 from .audit import run_audit
-from .catalog_tables import hash_sql
+from .catalog_tables import _ladder_sql, hash_sql, ladder_corpus
 from .catalog_text import _CHUNK_SQL, _CLASSIFY_SQL, audited, documents, guarded, hits, passages
 from .inputs import POLICY, RULES, WINDOW_TOKENS, evidence_vectors, lexicon, raw_documents, table
 from .registry import query
@@ -132,6 +132,26 @@ def _(spark, sf):
     return I.escalate(j, live, RULES).select("doc_id", "cand_idx", "escalated", "confidence", F.size("evidence").alias("n_evidence"))
 
 
+_LIVE = [{"request_id": i, "phrases": [], "any_of": [r.word], "min_year": None} for i, r in enumerate(RULES)]
+_LIVE_SQL = f"""lv AS (SELECT query AS word, max(score) AS live_top, count(*) AS n_live FROM ladder GROUP BY query),
+esc AS (SELECT i.doc_id, i.cand_id, i.confidence = 'low' AS escalated, i.verdict, i.n_ev, l.n_live, greatest(i.top, CASE WHEN i.confidence = 'low' THEN l.live_top END) AS top, i.confidence
+  FROM inv i LEFT JOIN lv l ON l.word = lower(i.quote))"""
+
+
+@query(
+    "live_escalation",
+    O.with_(*O.AUDIT, _INV_SQL, _ladder_sql(_LIVE), _LIVE_SQL)
+    + f"""SELECT doc_id, cand_id, escalated, verdict, CAST(n_ev + CASE WHEN escalated THEN coalesce(n_live, 0) ELSE 0 END AS INTEGER) AS n_evidence, round(top, 6) AS top_score,
+  CASE WHEN verdict = 'rejected' THEN 'medium' WHEN top >= {POLICY.strong} THEN 'high' WHEN top >= {POLICY.sufficient} THEN 'medium' ELSE 'low' END AS confidence FROM esc""",
+)
+def _(spark, sf):
+    """Weak candidates are searched in the corpus of documents and judged again."""
+    found = C.candidates_of(cut_lineage(audited(spark, sf)))
+    live = I.live_search(found, ladder_corpus(spark, sf))
+    out = I.investigate(found, evidence_vectors(spark, sf), RULES, live=live, policy=POLICY)
+    return out.select("doc_id", "cand_id", "escalated", "verdict", F.size("evidence").alias("n_evidence"), F.round("top_score", 6).alias("top_score"), "confidence")
+
+
 @query(
     "grounding_guard",
     O.with_(_JUDGED_SQL)
@@ -332,6 +352,19 @@ def _(spark, sf):
     return R.report_violations(f.withColumn("confidence", F.when(F.col("confidence") == "low", "lowish").otherwise(F.col("confidence"))))
 
 
+@query(
+    "report_document_validate",
+    _AUDIT + "SELECT doc_id, unnest(CASE WHEN confirmed = 0 THEN ['version', 'summary:windows'] ELSE [] END) AS rule FROM summ",
+)
+def _(spark, sf):
+    """Reports without findings lose a count and name another version, so the validator has something to find."""
+    a = audit(spark, sf)
+    j = R.report_json(a.summary, a.findings, a.patterns)
+    spoilt = F.replace(F.replace("report", F.lit('"version":"2.0"'), F.lit('"version":"1.0"')), F.lit('"windows":'), F.lit('"panes":'))
+    bare = F.json_array_length(F.get_json_object("report", "$.findings")) == 0
+    return R.document_violations(j.withColumn("report", F.when(bare, spoilt).otherwise(F.col("report"))))
+
+
 _MD_SQL = f"""
 fo AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY retracted, cand_idx) AS no FROM decided),
 mk AS (SELECT doc_id, string_agg(no || '. `' || quote || '`: ' || category || ' (' || confidence || ' confidence' || CASE WHEN needs_human_review THEN '; a person should look at it' ELSE '' END || ')' || chr(10)
@@ -342,13 +375,12 @@ mh AS (SELECT doc_id, '{R.REPORT_TITLE}' || chr(10) || chr(10) || '| measure | c
   || {" || ".join(f"'| {c.replace('_', ' ')} | ' || {c} || ' |' || chr(10)" for c in R.COUNTS)} AS head FROM summ)"""
 
 
-@query(
-    "report_markdown",
-    O.with_(*O.AUDIT, _INV_SQL, _MD_SQL)
-    + """SELECT mh.doc_id, head || coalesce(chr(10) || '## Findings' || chr(10) || chr(10) || kept, chr(10) || 'Nothing was confirmed.' || chr(10))
+_MARKDOWN = """SELECT mh.doc_id, head || coalesce(chr(10) || '## Findings' || chr(10) || chr(10) || kept, chr(10) || 'Nothing was confirmed.' || chr(10))
   || coalesce(chr(10) || '## Patterns' || chr(10) || chr(10) || pt, '') || coalesce(chr(10) || '## Withdrawn' || chr(10) || chr(10) || gone, '') AS markdown
-  FROM mh LEFT JOIN mk USING (doc_id) LEFT JOIN mg USING (doc_id) LEFT JOIN mp USING (doc_id)""",
-)
+  FROM mh LEFT JOIN mk USING (doc_id) LEFT JOIN mg USING (doc_id) LEFT JOIN mp USING (doc_id)"""
+
+
+@query("report_markdown", O.with_(*O.AUDIT, _INV_SQL, _MD_SQL) + _MARKDOWN)
 def _(spark, sf):
     a = audit(spark, sf)
     return R.report_markdown(a.summary, a.findings, a.patterns)
@@ -638,9 +670,16 @@ def _(spark, sf):
     return A.page_offsets(pages(spark, sf), width=200).select("doc_id", "page", "page_start")
 
 
-def aligned(spark, sf):
+def aligned(spark, sf, groups=None):
     p = pages(spark, sf)
-    return A.highlight_align(merged_highlights(spark, sf), p, A.page_offsets(p, width=200))
+    return A.highlight_align(merged_highlights(spark, sf) if groups is None else groups, p, A.page_offsets(p, width=200))
+
+
+def aligned_notes(spark, sf):
+    """Every fourth highlight carries a remark that is not in the page."""
+    groups = merged_highlights(spark, sf)
+    remark = F.when(F.col("group_idx") % 4 == 1, F.lit(" [added by hand]")).otherwise("")
+    return aligned(spark, sf, groups.withColumn("text", F.concat("text", remark)))
 
 
 @query(
@@ -666,3 +705,28 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return A.gold_spans(aligned(spark, sf)).select("doc_id", "gold_idx", "char_start")
+
+
+_MARKS = "CASE WHEN block_idx % 3 = 0 THEN 2 ELSE 1 END"
+
+
+@query(
+    "match_gate",
+    _ALIGN + f"""SELECT doc_id, matched, total, matched / total >= {A.MATCH_GATE} AS passes FROM
+  (SELECT doc_id, CAST(sum(CASE WHEN block_idx % 4 = 1 THEN 0 ELSE {_MARKS} END) AS BIGINT) AS matched, CAST(sum({_MARKS}) AS BIGINT) AS total FROM hl GROUP BY doc_id)""",
+)
+def _(spark, sf):
+    return A.match_report(aligned_notes(spark, sf)).select("doc_id", "matched", "total", "passes")
+
+
+@query("unmatched_highlights", _ALIGN + "SELECT doc_id, page, CAST(block_idx AS INTEGER) AS group_idx, text || ' [added by hand]' AS text FROM hl WHERE block_idx % 4 = 1")
+def _(spark, sf):
+    return A.unmatched_highlights(aligned_notes(spark, sf))
+
+
+@query(
+    "label_histogram",
+    _ALIGN + f"SELECT label, count(*) AS n FROM (SELECT unnest(string_split({_LABELS}, ',')) AS label FROM hl WHERE block_idx % 4 <> 1) GROUP BY label",
+)
+def _(spark, sf):
+    return A.label_histogram(aligned_notes(spark, sf))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators.match import lexicon_terms
@@ -12,13 +10,7 @@ from ..streaming import jobs
 from . import oracle as O
 from .catalog_tables import _CORPUS_SQL, corpus_rows, hash_sql
 from .inputs import lexicon, table
-from .registry import query
-
-
-def scratch(spark) -> str:
-    """A new folder for sink and checkpoint, below the shared checkpoint folder if one is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-    return f"{base}/stream-{uuid.uuid4().hex}"
+from .registry import query, scratch
 
 
 def stream(spark, sf, name):

@@ -108,12 +108,12 @@ def _(spark, sf):
     return S.query_list(table(spark, sf, "events").select("event_id", line.alias("value"))).select("event_id", "query")
 
 
-@query(
-    "gold_sentence_scan",
-    f"""WITH g AS (SELECT l.doc_id, d.text, CASE (l.doc_id + quality) % 6 WHEN 0 THEN 'Correct' WHEN 1 THEN 'Biased' WHEN 2 THEN 'Potentially Offensive' WHEN 3 THEN 'Factually Incorrect' WHEN 4 THEN 'Outdated' ELSE 'Unknown' END AS raw,
+_GOLD_ROWS = """WITH g AS (SELECT l.doc_id, d.text, CASE (l.doc_id + quality) % 6 WHEN 0 THEN 'Correct' WHEN 1 THEN 'Biased' WHEN 2 THEN 'Potentially Offensive' WHEN 3 THEN 'Factually Incorrect' WHEN 4 THEN 'Outdated' ELSE 'Unknown' END AS raw,
   upper(lang) AS language FROM labels l JOIN documents d USING (doc_id))
-SELECT doc_id, raw <> 'Correct' AS expected_flag, CASE WHEN raw <> 'Correct' THEN replace(lower(raw), ' ', '-') END AS expected_category, language FROM g WHERE raw <> 'Unknown' AND language = 'EN'""",
-)
+"""
+
+
+@query("gold_sentence_scan", _GOLD_ROWS + "SELECT doc_id, raw <> 'Correct' AS expected_flag, CASE WHEN raw <> 'Correct' THEN replace(lower(raw), ' ', '-') END AS expected_category, language FROM g WHERE raw <> 'Unknown' AND language = 'EN'")
 def _(spark, sf):
     return S.gold_sentences(_gold_rows(spark, sf), "EN").select("doc_id", "expected_flag", "expected_category", "language")
 
@@ -539,11 +539,11 @@ REQUESTS = [
 ]
 
 
-def _ladder_sql() -> str:
+def _ladder_sql(requests=None) -> str:
     parts = []
-    for r in REQUESTS:
+    for r in requests or REQUESTS:
         t = "low"
-        allp = " AND ".join(f"contains({t}, '{p}')" for p in r["phrases"])
+        allp = " AND ".join(f"contains({t}, '{p}')" for p in r["phrases"]) or "true"
         variants = [v for a in r["any_of"] for v in ([a] if a.endswith("s") else [a, a + "s"])]
         anyv = (" AND (" + " OR ".join(f"contains({t}, '{v}')" for v in variants) + ")") if variants else ""
         year = f" AND try_cast(year AS INTEGER) BETWEEN {r['min_year']} AND 2026" if r["min_year"] else ""
@@ -650,12 +650,11 @@ def _(spark, sf):
     return M.usage_delta(ledger, width=500).select("run_id", "step_idx", "delta_in", "delta_out")
 
 
-@query(
-    "run_log_row",
-    O.with_(_STEP_SQL)
-    + """SELECT run_id, count(*) AS step_count, CASE WHEN coalesce(sum(tokens_in), 0) <> 0 OR coalesce(sum(tokens_out), 0) <> 0 THEN CAST(coalesce(sum(tokens_in), 0) AS BIGINT) END AS tokens_in,
-  CASE WHEN coalesce(sum(tokens_in), 0) <> 0 OR coalesce(sum(tokens_out), 0) <> 0 THEN CAST(coalesce(sum(tokens_out), 0) AS BIGINT) END AS tokens_out FROM steps GROUP BY run_id""",
-)
+_RUN_LOG = """SELECT run_id, count(*) AS step_count, CASE WHEN coalesce(sum(tokens_in), 0) <> 0 OR coalesce(sum(tokens_out), 0) <> 0 THEN CAST(coalesce(sum(tokens_in), 0) AS BIGINT) END AS tokens_in,
+  CASE WHEN coalesce(sum(tokens_in), 0) <> 0 OR coalesce(sum(tokens_out), 0) <> 0 THEN CAST(coalesce(sum(tokens_out), 0) AS BIGINT) END AS tokens_out FROM steps GROUP BY run_id"""
+
+
+@query("run_log_row", O.with_(_STEP_SQL) + _RUN_LOG)
 def _(spark, sf):
     return M.run_log_rows(ledger_steps(spark, sf))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,3 +19,9 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return register
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for what a query writes, below the shared checkpoint folder if the session names one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    return f"{base}/query-{uuid.uuid4().hex}"

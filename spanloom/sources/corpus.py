@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import row_numbers
+from ..functions.sizes import broadcast_if_small
 from ..functions.text import is_blank, strip
 from ..functions.vectors import check_dim, hash_embed
 
@@ -19,6 +20,8 @@ TEXT_LIMIT = 8000
 #: Bytes up to which an input is dealt out to all cores.
 SMALL_INPUT = 1 << 28
 TITLE_LIMIT = 200
+#: Splits of a line file up to which their table is broadcast.
+MAX_SPLITS = 100_000
 BATCH_SIZE = 64
 
 # Labels of the expert review set.
@@ -137,6 +140,51 @@ def gold_sentences(rows: DataFrame, language: str | None = None) -> DataFrame:
     ).withColumnRenamed("sentence", "text")
 
 
+def read_gold_sentences(spark: SparkSession, path: str, language: str | None = None) -> DataFrame:
+    """Review set from CSV with header (sentence, expected_label_raw, language); no rows where the file is missing."""
+    schema = "sentence string, expected_label_raw string, language string"
+    if not _exists(spark, path):
+        return gold_sentences(spark.createDataFrame([], schema), language)
+    # Columns are found by name, whatever their order in the file is, so the header is read first.
+    found = spark.read.csv(path, header=True, multiLine=True, escape='"', maxCharsPerColumn=-1)
+    names = [n.split()[0] for n in schema.split(", ")]
+    return gold_sentences(found.select(*[F.col(n) if n in found.columns else F.lit(None).cast("string").alias(n) for n in names]), language)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row_idx, line): lines with their number in their file, from 0.
+
+    A line is numbered within its split; the lines of the splits before it come from a table of one row per split.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"),
+    )
+    splits = lines.groupBy("file", "split").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    joined = lines.join(broadcast_if_small(starts, MAX_SPLITS), ["file", "split"])
+    return joined.select("file", (F.col("start") + F.col("seq") - F.col("first")).alias("row_idx"), "line")
+
+
+def read_gold_jsonl(spark: SparkSession, path: str, language: str = "EN", exclude: tuple[int, ...] = EXEMPLAR_ROWS) -> DataFrame:
+    """Review set from JSON lines (lang, label, sentence); ``row_idx`` is the line number in its file."""
+    rows = numbered_lines(spark, path).filter(~is_blank(F.col("line")))
+    parsed = F.from_json("line", "lang string, label string, sentence string")
+    return gold_jsonl(rows.select("row_idx", parsed.alias("r")).select("row_idx", "r.*"), language, exclude)
+
+
+def read_gold_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Gold documents, one JSON object per line or file: doc_id, fulltext, spans."""
+    span = "struct<char_start:bigint,char_end:bigint,labels:array<string>,page:bigint,text:string>"
+    return spark.read.schema(f"doc_id string, fulltext string, spans array<{span}>").json(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
 def gold_jsonl(rows: DataFrame, language: str = "EN", exclude: tuple[int, ...] = EXEMPLAR_ROWS) -> DataFrame:
     """Review rows (row_idx, lang, label, sentence) of one language without the exemplars."""
     return rows.filter((F.col("lang") == language) & ~F.col("row_idx").isin(*exclude))

@@ -11,7 +11,8 @@ from .corpus import CORPUS_COLUMNS
 def write_corpus(rows: DataFrame, path: str, *, append: bool = True) -> None:
     """Corpus rows as CSV with header, appended or replacing what is there."""
     out = rows.select(*CORPUS_COLUMNS).write.mode("append" if append else "overwrite")
-    out.csv(path, header=True, escape='"')
+    # white space at the ends of a field belongs to it
+    out.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_reports(reports: DataFrame, path: str, column: str = "report") -> None:
@@ -28,6 +29,16 @@ def write_gold(spans: DataFrame, path: str) -> None:
     spans.write.mode("overwrite").json(path)
 
 
+def write_gold_documents(texts: DataFrame, spans: DataFrame, path: str) -> None:
+    """Gold documents as JSON lines: doc_id, fulltext and the spans of each in order (``gold_idx``)."""
+    item = F.struct("char_start", "char_end", "labels", "page", "text")
+    lists = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("gold_idx", item.alias("s")))).alias("l"))
+    joined = texts.join(lists, "doc_id", "left")
+    none = F.array().cast(f"array<{lists.select(F.get('l', F.lit(0))['s'].alias('s')).schema['s'].dataType.simpleString()}>")
+    rows = joined.select("doc_id", F.col("text").alias("fulltext"), F.coalesce(F.transform("l", lambda x: x["s"]), none).alias("spans"))
+    rows.write.mode("overwrite").json(path)
+
+
 def write_lexicon(entries: DataFrame, path: str) -> None:
     """Serialised entries in merged order."""
     entries.orderBy("ord").select("entry").write.mode("overwrite").text(path)
