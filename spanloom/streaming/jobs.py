@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.match import DEFAULT_BATCH, raw_hits
@@ -44,6 +44,17 @@ def ingest_batch(rows: DataFrame, batch_id: int, store_path: str, dead_path: str
     return False
 
 
+def read_store(spark: SparkSession, store_path: str) -> DataFrame:
+    """The vector table as it stands: one row per id, the one of the last batch that wrote it.
+
+    An aggregate, reduced inside each task first, so an id that was written very often is no hot group. Of several rows of one id
+    in the same batch, whose order a batch does not define, the greatest text counts.
+    """
+    rows = spark.read.parquet(store_path)
+    payload = [c for c in rows.columns if c not in ("id", "batch")]
+    return rows.groupBy("id").agg(F.max_by(F.struct(*payload), F.struct(F.col("batch").cast("bigint"), "text")).alias("p")).select("id", "p.*")
+
+
 def ingest_microbatch(corpus: DataFrame, store_path: str, dead_path: str, checkpoint: str, *, dim: int = 64, embedder=None):
     """Start the ingest of a corpus stream; batch size is set on the source (maxFilesPerTrigger)."""
 
