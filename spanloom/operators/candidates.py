@@ -295,16 +295,46 @@ def audit_documents(
     """Guards, parse, rule detection and quote verification; one narrow row per document.
 
     Everything is computed inside the row that holds the text, so the text is read once and
-    never shuffled. Columns: doc_id, n_windows, n_raw, n_dropped, candidates (array).
+    never shuffled. Columns: doc_id, n_windows, n_raw, n_dropped, n_failed, candidates (array).
     """
     guarded = guard_english(guard_nonempty(documents)).select("doc_id", "text")
     parsed = guard_window_cap(parse_documents(guarded, window_tokens, sentences=False), max_windows)
-    found = pin(parsed, "found", _found(tuple(rules)))
+    return _narrow(pin(parsed, "found", _found(tuple(rules))), F.lit(0))
+
+
+def audit_replies(documents: DataFrame, parsed: DataFrame, *, window_tokens: int = DEFAULT_WINDOW_TOKENS) -> DataFrame:
+    """The audit with a model's replies in place of the rules: ``parsed`` as made by :func:`parse_responses`.
+
+    The replies of a document become one array, which meets the document once; from there on everything is computed inside the
+    row that holds the text. Documents without replies have no candidates. Columns as in :func:`audit_documents`;
+    ``n_failed`` counts the replies without a JSON object.
+    """
+    item = F.struct("window_idx", "pos", "quote", "category", "reason", "lexicon_backed")
+    said = candidate_normalize(parsed).groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("said"))
+    failed = parsed.groupBy("doc_id").agg(F.count_if("parse_failed").cast("int").alias("n_failed"))
+    guarded = guard_english(guard_nonempty(documents)).select("doc_id", "text")
+    met = guarded.join(failed.join(said, "doc_id", "left"), "doc_id", "left")
+    found = pin(parse_documents(met, window_tokens, sentences=False), "found", _replied())
+    return _narrow(found, F.coalesce("n_failed", F.lit(0)))
+
+
+@built_once
+def _replied() -> Column:
+    def placed(c: Column) -> Column:
+        w = F.get("windows", c["window_idx"])
+        return F.struct(*[c[n].alias(n) for n in ("window_idx", "pos", "quote", "category", "reason", "lexicon_backed")],
+                        w["char_start"].alias("window_start"), w["char_end"].alias("window_end")).cast(_CANDIDATE)
+
+    said = F.transform("said", placed)
+    return verify_array(F.col("text"), F.coalesce(said, F.array().cast(f"array<{_CANDIDATE}>")))
+
+
+def _narrow(found: DataFrame, n_failed: Column) -> DataFrame:
+    """What leaves the text pass, from verified candidates ``found`` of a parsed document."""
     found = pin(found, "expansions", _expansions())
-    candidates = _candidates()
-    return pin(found, "candidates", candidates).select(
+    return pin(found, "candidates", _candidates()).select(
         "doc_id", F.size("windows").alias("n_windows"), F.size("found").alias("n_raw"),
-        F.size(F.filter("found", lambda c: ~c["accepted"])).alias("n_dropped"), "candidates",
+        F.size(F.filter("found", lambda c: ~c["accepted"])).alias("n_dropped"), n_failed.alias("n_failed"), "candidates",
     )
 
 
@@ -377,7 +407,7 @@ def audit_stats(audited: DataFrame, candidates: DataFrame, hint_counts: DataFram
     return out.select(
         "doc_id", F.col("n_windows").alias("windows"), hints.alias("hints"), F.col("n_raw").alias("raw_candidates"),
         F.col("n_dropped").alias("dropped_unverified"), F.coalesce("n_candidates", F.lit(0)).alias("candidates"),
-        F.lit(0).alias("windows_parse_failed"),
+        F.col("n_failed").alias("windows_parse_failed"),
     )
 
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.sizes import cut_lineage
 from ..operators import candidates as C
 from ..operators import consolidate as K
 from ..operators import investigate as I
+from ..operators import match as M
 from ..operators import report as R
-from ..operators.parse import DEFAULT_WINDOW_TOKENS
+from ..operators.parse import DEFAULT_WINDOW_TOKENS, guard_english, guard_nonempty, parse_documents
 
 
 class Audit(NamedTuple):
@@ -25,19 +27,40 @@ class Audit(NamedTuple):
     summary: DataFrame
 
 
+class ModelReplies(NamedTuple):
+    hints: DataFrame
+    replies: DataFrame
+
+
+def ask_model(documents: DataFrame, lexicon: DataFrame, complete: Callable[[list[str]], list[str]], *, window_tokens: int = DEFAULT_WINDOW_TOKENS) -> ModelReplies:
+    """Put every window, with its lexicon hints, to a model; parsed replies ``doc_id, window_idx, raw, reply, parse_failed``.
+
+    ``complete`` takes a batch of prompts inside a task and gives as many replies; null is a failed reply. Replies are written to
+    the checkpoint folder, as a lost executor must not ask twice and later stages must see the same answers.
+    """
+    guarded = guard_english(guard_nonempty(documents)).select("doc_id", "text")
+    windows = parse_documents(guarded, window_tokens, sentences=False).select("doc_id", F.inline("windows"))
+    hints = M.window_hints(M.lexicon_hits(guarded, lexicon), windows)
+    answered = I.call_model(M.audit_prompts(windows, hints), complete).drop("prompt")
+    return ModelReplies(hints, C.parse_responses(cut_lineage(answered)))
+
+
 def run_audit(
     documents: DataFrame, vectors: DataFrame, rules: Sequence[C.Rule] = C.DEFAULT_RULES, *,
     window_tokens: int = DEFAULT_WINDOW_TOKENS, max_windows: int | None = None, live: DataFrame | None = None,
-    materialize: bool = False, policy: I.Policy = I.Policy(),
+    materialize: bool = False, policy: I.Policy = I.Policy(), parsed: DataFrame | None = None,
 ) -> Audit:
     """Audit every document of a table against an evidence store.
 
     The texts are read in one pass; what leaves it is one narrow row per document. Later
     stages read only that. With ``materialize`` the narrow rows are written to the checkpoint
     folder, so several outputs of one audit share the pass and a lost executor does not
-    repeat it.
+    repeat it. With ``parsed`` (see :func:`ask_model`) the candidates are those of a model; the rules only serve its verdicts.
     """
-    audited = C.audit_documents(documents, rules, window_tokens=window_tokens, max_windows=max_windows)
+    if parsed is None:
+        audited = C.audit_documents(documents, rules, window_tokens=window_tokens, max_windows=max_windows)
+    else:
+        audited = C.audit_replies(documents, parsed, window_tokens=window_tokens)
     if materialize:
         audited = cut_lineage(audited)
     candidates = C.candidates_of(audited)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import candidates as C
-from . import catalog_report, catalog_sinks, catalog_streams, catalog_tables, catalog_text
+from . import catalog_model, catalog_report, catalog_sinks, catalog_streams, catalog_tables, catalog_text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["catalog_report", "catalog_sinks", "catalog_streams", "catalog_tables", "ORACLES", "QUERIES", "flagship"]
+__all__ = ["catalog_model", "catalog_report", "catalog_sinks", "catalog_streams", "catalog_tables", "ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
