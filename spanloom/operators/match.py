@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import built_once
 from ..functions.sizes import broadcast_if_small
-from ..functions.spans import match_spans, points_in_intervals
-from ..functions.text import escape_literal, word_regex
+from ..functions.spans import mark_matches, match_spans, pieces, points_in_intervals
+from ..functions.text import WORD, escape_literal, lit_let, word_regex
 from ..functions.wordtrie import batched_regexes
 from .lexicon import condition_of, note_with_condition
 from .parse import chunk_table
 
 DEFAULT_BATCH = 500
+#: Terms that begin or end with a sign; each is a pattern of its own.
+MAX_ODD_TERMS = 5_000
 MAX_PATTERN_TERMS = 50_000
 HINT_CAP = 20
 SAMPLES = 3
@@ -136,6 +138,59 @@ def document_lookup(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     return lexicon_lookup(chunk_table(documents), lexicon)
 
 
+@built_once
+def _grams(sizes: tuple[int, ...]) -> Column:
+    """Runs of ``sizes`` words in the column ``text``, in lower case, as they are spaced in it: array of (s, e, gram)."""
+
+    def runs(p: Column) -> Column:
+        def at(i: Column) -> Column:
+            def run(n: int) -> Column:
+                parts = F.slice(p, i + 1, 2 * n - 1)
+                gram = F.lower(F.array_join(parts["text"], "")).alias("gram")
+                return F.struct(F.get(p, i)["char_start"].alias("s"), F.element_at(parts, -1)["char_end"].alias("e"), gram)
+
+            grams = [run(n) for n in sizes]
+            # a run must not reach beyond the last word
+            return F.slice(F.array(*grams), 1, F.size(F.filter(F.array(*[F.lit(2 * n - 2) for n in sizes]), lambda n: i + n <= F.size(p) - 2)))
+
+        words = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: i % 2 == 1)
+        return F.flatten(F.transform(words, at))
+
+    return lit_let(pieces(F.col("text"), mark_matches(f"{WORD}+")), runs)
+
+
+def joined_lexicon_hits(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Every term on its own, as in :func:`lexicon_lookup`, for vocabularies of any size: a join, no pattern and no driver list.
+
+    Runs of words (as many as terms have) leave the row of their text with their offset and meet the terms by equality in lower
+    case. As runs begin and end at word boundaries, so do the hits; white space and signs inside a term must be the same. A small
+    lexicon is broadcast; a larger one is joined by its terms, and AQE splits frequent words. Terms that begin or end with something
+    else than a word character cannot be such runs and go through the pattern of :func:`hit_array`, one by one.
+    Null texts have no hits; an empty lexicon gives none; repeated terms count once.
+    """
+    entries = lexicon_entries(lexicon).select("term", "category", "alternatives", note_with_condition(F.col("note"), F.col("condition")).alias("note"))
+    plain = entries.filter(F.rlike("term", F.lit(f"(?s)\\A{WORD}(?:.*{WORD})?\\z")))
+    n_words = plain.select((F.size(F.split("term", f"{WORD}+")) - 1).alias("n")).distinct()
+    sizes = tuple(sorted(r["n"] for r in n_words.collect()))
+    columns = ["doc_id", "char_start", "char_end", "term", "category", "alternatives", "note"]
+    out = None
+    if sizes:
+        grams = documents.select("doc_id", F.inline(_grams(sizes)))
+        side = broadcast_if_small(plain, MAX_PATTERN_TERMS)
+        out = grams.join(side, F.col("gram") == F.col("term")).withColumns(
+            {"char_start": F.col("s"), "char_end": F.col("e")}
+        ).select(columns)
+    odd = entries.join(plain.select("term"), "term", "left_anti")
+    terms = [r["term"] for r in odd.select("term").limit(MAX_ODD_TERMS + 1).collect()]
+    if len(terms) > MAX_ODD_TERMS:
+        raise ValueError(f"more than {MAX_ODD_TERMS} terms begin or end with a sign")
+    if terms or out is None:
+        spans = documents.select("doc_id", F.inline(_term_spans(tuple(sorted(terms)))))
+        found = spans.join(odd, "term").withColumns({"char_start": F.col("s"), "char_end": F.col("e")}).select(columns)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def term_doc_counts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("doc_count"))
 

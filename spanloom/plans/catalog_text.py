@@ -247,6 +247,36 @@ def _(spark, sf):
     return M.document_lookup(raw_documents(spark, sf), lexicon(spark)).select("doc_id", "chunk_idx", "term", "char_start", "char_end")
 
 
+_WORDS = "[\\pL\\pN_]+"
+
+
+def corpus_lexicon(spark, sf):
+    """A vocabulary of some thousand terms: names of parts, words of the benchmark and pairs of them."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(_WORDS.replace("pL", "p{L}").replace("pN", "p{N}")), F.lit(0))
+    said = table(spark, sf, "benchmark").select(words.alias("w"))
+    pairs_of = F.transform(F.arrays_zip("w", F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("v")), lambda x: F.concat(x["w"], F.lit(" "), x["v"]))
+    terms = said.select(F.explode(F.array_compact(F.concat("w", pairs_of))).alias("term")).union(table(spark, sf, "part").select(F.lower("p_name")))
+    return terms.distinct().select(
+        F.xxhash64("term").alias("ord"), "term", F.lit("biased").alias("category"), F.array().cast("array<string>").alias("alternatives"),
+        F.lit("").alias("note"), F.lit("").alias("condition"), F.lit("corpus").alias("source"),
+    )
+
+
+@query(
+    "lexicon_hits_joined",
+    f"""WITH bw AS (SELECT regexp_extract_all(lower(text), '{_WORDS}') AS w FROM benchmark),
+terms AS (SELECT unnest(w) AS term FROM bw UNION SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(range(1, len(w))) AS i FROM bw) UNION SELECT lower(p_name) FROM part),
+tk_p AS (SELECT doc_id, string_split_regex(text, '{_WORDS}') AS g, regexp_extract_all(text, '{_WORDS}') AS m FROM documents),
+tk AS (SELECT doc_id, lower(m[n]) AS w, g[n + 1] AS gap, lower(m[n + 1]) AS nxt, sum(length(g[n]) + length(m[n])) OVER (PARTITION BY doc_id ORDER BY n) - length(m[n]) AS s
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS n FROM tk_p)),
+found AS (SELECT doc_id, w AS term, s FROM tk UNION ALL SELECT doc_id, w || gap || nxt, s FROM tk WHERE nxt IS NOT NULL)
+SELECT doc_id, term, count(*) AS n_hits, CAST(sum(s) AS BIGINT) AS sum_starts FROM found JOIN terms USING (term) GROUP BY ALL""",
+)
+def _(spark, sf):
+    found = M.joined_lexicon_hits(raw_documents(spark, sf), corpus_lexicon(spark, sf))
+    return found.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n_hits"), F.sum("char_start").alias("sum_starts"))
+
+
 @query("note_with_condition", O.with_(O.DOCS, O.hits()) + "SELECT DISTINCT term, note FROM hits")
 def _(spark, sf):
     return hits(spark, sf).select("term", "note").distinct()

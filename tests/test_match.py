@@ -1,3 +1,5 @@
+import re
+
 from spanloom.functions.wordtrie import vocabulary_regex
 from spanloom.operators import match as M
 from spanloom.operators import parse as P
@@ -66,3 +68,18 @@ def test_lexicon_may_be_empty_upper_case_or_repeated(spark, docs, lexicon):
     twice = lexicon(("Chairman", "first", [], "", ""), ("chairman", "second", [], "", ""), (" ", "blank", [], "", ""))
     assert [(r.term, r.category) for r in M.lexicon_hits(d, twice).collect()] == [("chairman", "first")] * 2
     assert M.document_lookup(d, twice).count() == 2
+
+
+def test_joined_hits_are_those_of_a_search_per_term(docs, lexicon):
+    entries = [(t, "biased", [], "", "") for t in ("he", "The", "the end", "end", "é", "x-y", "c++", "(he)", "of  the", "never")]
+    texts = ("He said the end, the END of  the x-y and c++ (he) é été.", "the", "", None, "the\nend of the", "hehe the_end x - y İ he", "x(he)x, c++x")
+    found = {(r.doc_id, r.char_start, r.char_end, r.term) for r in M.joined_lexicon_hits(docs(*texts), lexicon(*entries)).collect()}
+    want = set()
+    for i, text in enumerate(texts):
+        for t, *_ in entries:
+            for m in re.finditer(rf"\b{re.escape(t)}\b", text or "", re.I):
+                want.add((i, *m.span(), t.lower()))
+    assert found == want and len(want) > 10
+    assert M.joined_lexicon_hits(docs(*texts), lexicon(*entries).limit(0)).count() == 0
+    again = lexicon(*entries).union(lexicon(*entries))
+    assert M.joined_lexicon_hits(docs(*texts), again).count() == len(want)
