@@ -82,3 +82,10 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
     twice = spark.createDataFrame(rows[:3] * 2 + [(None, "a b c d", "en", "s", 7), (None, "e f g h i j", "en", "s", 11)], schema)
     assert corpus_pipeline.near_duplicate_stage(spark, twice, "").count() == 5
+
+
+def test_unlabelled_documents_with_letters_stay(spark):
+    rows, _ = corpus()
+    docs = spark.createDataFrame([(r[0], r[1], None, r[3], r[4]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows} - {300, 301, 302}
