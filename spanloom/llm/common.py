@@ -48,3 +48,25 @@ def unit_hash(*parts: Column) -> Column:
 def bind(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body``, also within lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: A key that holds a thousandth of all rows is hot, so there are at most a thousand hot keys.
+HOT_SHARE = 1000
+
+
+def hot_keys(sizes: DataFrame, n: str = "n", least: int = 1000) -> DataFrame:
+    """The rows of ``sizes`` (one per key, with ``n`` rows each) whose key holds a thousandth of all rows or more, and ``least`` rows: at most a thousand."""
+    total = sizes.agg(F.sum(n)).collect()[0][0] or 0
+    return sizes.filter(F.col(n) >= max(least, -(-total // HOT_SHARE)))
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """Inner join with a table of one narrow row per key, which says in ``n`` how many rows of the left side it meets.
+
+    The hot keys, a thousand at most, are broadcast; the others meet in a shuffle.
+    """
+    hot = checkpointed(hot_keys(right, n))
+    marks = hot.select(*on, F.lit(True).alias("_hot"))
+    met = left.join(F.broadcast(hot.drop(n)), on)
+    cold = left.join(F.broadcast(marks), on, "left_anti").join(right.join(F.broadcast(marks), on, "left_anti").drop(n), on)
+    return met.unionByName(cold)
