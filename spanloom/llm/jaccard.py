@@ -124,7 +124,7 @@ def _subsets(tokens: np.ndarray, level: int, m: int) -> tuple[np.ndarray, np.nda
 
 
 def _keys(sums: np.ndarray, segments: np.ndarray, level: int) -> np.ndarray:
-    return _mix(sums + _mix(segments.astype(np.uint64) + _U(level + 1) * _U(0xD6E8FEB86659FD93))).view(np.int64)
+    return _mix(sums + _mix(segments.astype(np.uint64) + _U((level + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))).view(np.int64)
 
 
 def segment_keys(tokens: np.ndarray, level: int, m: int) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, chat, contamination, jaccard, language, mixing, pii, quality, simhash, suffixes, toxicity, urls
+from . import audit, chat, collocations, contamination, jaccard, language, mixing, pii, quality, simhash, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_decontaminate": contamination.op9_decontaminate,
     "op10_simhash": simhash.op10_simhash,
+    "op11_collocations": collocations.op11_collocations,
     "op12_jaccard_join": jaccard.op12_jaccard_join,
     "op13_filter_audit": audit.op13_filter_audit,
 }
@@ -24,6 +25,7 @@ ORACLES = {
     "op5_url_filter": urls.OP5_SQL,
     "op6_quality_rules": quality.OP6_SQL,
     "op9_decontaminate": contamination.OP9_SQL,
+    "op11_collocations": collocations.OP11_SQL,
     "op12_jaccard_join": jaccard.OP12_SQL,
     "op13_filter_audit": audit.OP13_SQL,
 }
