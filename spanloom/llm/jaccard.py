@@ -48,7 +48,7 @@ HOT_KEY = 64
 BLOCK_SETS = 1024
 BLOCK_TOKENS = 1 << 20
 #: Keys or sets (up to 32 bytes each) that are broadcast; beyond it they meet in a shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_ROWS = 100_000
 
 _SLICE = 1 << 20
 _COLUMNS = 2048
