@@ -37,9 +37,9 @@ TOP = 2000
 SCALE = 1_000_000
 UNKNOWN = "und"
 #: Text of one range of n-grams, of the sample that cuts the ranges, and words of one shard.
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 8 << 20
 SAMPLE_BYTES = 8 << 20
-SHARD_WORDS = 3 << 20
+SHARD_WORDS = 2 << 20
 MAX_SAMPLE_ROWS = 200_000
 SALTS = 32
 
