@@ -127,9 +127,11 @@ def _keys(sums: np.ndarray, segments: np.ndarray, level: int) -> np.ndarray:
     return _mix(sums + _mix(segments.astype(np.uint64) + _U((level + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))).view(np.int64)
 
 
-def segment_keys(tokens: np.ndarray, level: int, m: int) -> np.ndarray:
-    """One key per segment."""
-    return _keys(_subsets(tokens, level, m)[2], np.arange(m), level)
+def segment_keys(tokens: np.ndarray, level: int, m: int, filled: bool = False) -> np.ndarray:
+    """One key per segment, or only those of segments with tokens where ``filled``."""
+    segment, _, sums = _subsets(tokens, level, m)
+    keys = _keys(sums, np.arange(m), level)
+    return keys[np.bincount(segment, minlength=m) > 0] if filled else keys
 
 
 def deletion_keys(tokens: np.ndarray, level: int, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +140,7 @@ def deletion_keys(tokens: np.ndarray, level: int, m: int) -> tuple[np.ndarray, n
     return segment, _keys(sums[segment] - weight, segment, level)
 
 
-def _prints(levels: Levels, size: int):
+def _prints(levels: Levels, size: int, filled: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
@@ -151,7 +153,7 @@ def _prints(levels: Levels, size: int):
                 level.append(own)
                 reach.append(up)
                 m.append(levels.segments(own))
-                keys.append(np.concatenate([segment_keys(tokens, at, levels.segments(at)) for at in ((own, own + 1) if up else (own,))]) if len(tokens) else np.zeros(0, np.int64))
+                keys.append(np.concatenate([segment_keys(tokens, at, levels.segments(at), filled) for at in ((own, own + 1) if up else (own,))]) if len(tokens) else np.zeros(0, np.int64))
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -163,10 +165,10 @@ def _prints(levels: Levels, size: int):
     return run
 
 
-def set_prints(docs: DataFrame, doc_id: str, text: str, levels: Levels, size: int) -> DataFrame:
-    """``doc_id, th, n, sid, level, reach, m, keys`` per document: text hash, set size, hash of the set, band, keys of its one or two levels."""
+def set_prints(docs: DataFrame, doc_id: str, text: str, levels: Levels, size: int, filled: bool = False) -> DataFrame:
+    """``doc_id, th, n, sid, level, reach, m, keys`` per document: text hash, set size, hash of the set, band, keys of its one or two levels (of segments with tokens only where ``filled``)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
-    return rows.mapInArrow(_prints(levels, size), "doc_id long, th long, n long, sid long, level int, reach boolean, m int, keys array<long>")
+    return rows.mapInArrow(_prints(levels, size, filled), "doc_id long, th long, n long, sid long, level int, reach boolean, m int, keys array<long>")
 
 
 def texts_of(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
