@@ -134,19 +134,3 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: the smallest id, then the smallest text hash, then the smallest hash of the row; a repeated row stays once."""
-    th = F.xxhash64(F.coalesce(text, F.lit("")))
-    cells = [F.col(f"`{c}`") for c in docs.columns]
-    # the hash skips nulls, so where they are counts as well
-    row = F.xxhash64(*cells, *[c.isNull() for c in cells])
-    prints = checkpointed(docs.select(F.col(doc_id).alias("id"), th.alias("th"), row.alias("row"), fingerprint_udf(F.col(text)).alias("fp")))
-    roots = components(links_of(prints.select("fp").distinct()))
-    rooted = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "row")).alias("first"))
-    kept = first.select(F.col("first.id").alias("keep_id"), F.col("first.th").alias("keep_th"), F.col("first.row").alias("keep_row"))
-    chosen = docs.join(kept, docs[doc_id].eqNullSafe(F.col("keep_id")) & (th == F.col("keep_th")) & (row == F.col("keep_row")), "left_semi")
-    if prints.groupBy("id", "th", "row").count().filter("count > 1").isEmpty():
-        return chosen
-    return chosen.dropDuplicates()

@@ -8,7 +8,7 @@ import corpus_pipeline
 from spanloom.llm import mixing
 from test_contamination import brute as brute_hits
 from test_pii import brute as brute_pii
-from test_simhash import brute_components, brute_print
+from test_neardup import brute_kept
 
 EN = "the and of that was with this from which shall have been there would their what about".split()
 DE = "der die und nicht eine werden über für können würde auch nach zwischen große straße".split()
@@ -26,6 +26,7 @@ def corpus():
         if i % 20 == 7:
             text += ". " + bench[i % 5][1].upper()
         rows.append((i, text, "en" if i % 3 else "de", f"s{i % 4}", len(text)))
+    rows += [(180 + i, rows[i][1].rsplit(" ", 1)[0] + " and", rows[i][2], "s8", rows[i][4]) for i in range(3)]
     rows += [(200 + i, rows[i][1], rows[i][2], "s9", rows[i][4]) for i in range(15)]
     rows += [(300, "12 34 !", "en", "s0", 7), (301, None, None, None, None), (302, "", "de", "s1", 0)]
     return rows, bench
@@ -39,8 +40,7 @@ def test_against_brute_force(spark, tmp_path):
     got = sorted((r["doc_id"], r["copy"], r["text"], r["n_chars"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
 
     docs = {r[0]: r for r in rows if r[0] not in (300, 301, 302)}
-    classes = brute_components({i: brute_print(r[1]) for i, r in docs.items()})
-    docs = {i: r for i, r in docs.items() if classes[i] == i}
+    docs = {i: docs[i] for i in brute_kept(list(docs.values()))}
     items = [(str(i), t) for i, t in bench]
     docs = {i: r for i, r in docs.items() if not (brute_hits(r[1], items)[1] > 0 and 20 * brute_hits(r[1], items)[1] >= brute_hits(r[1], items)[0])}
     assert not any(i % 20 == 7 for i in docs)

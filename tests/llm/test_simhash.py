@@ -93,10 +93,3 @@ def test_empty_table_and_repeated_rows(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     rows = simhash.near_duplicates(spark.createDataFrame([(7, "a b c d")] * 3 + [(None, "z y x")], schema)).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in rows) == [(-1, -1), (7, 7), (7, 7), (7, 7)]
-
-
-def test_one_row_of_a_class_stays_whatever_else_differs(spark):
-    same = [(1, "a b c d e", "s", None), (1, "a b c d e", None, "s"), (1, "a b c d e", "t", "en"), (1, "a b c d e", "t", "en")]
-    rows = same + [(None, "v w x y z", s, "en") for s in ("p", "q", "r", None)] + [(None, "v w x y z", "p", "en")]
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
-    assert sorted(r["text"] for r in kept) == ["a b c d e", "v w x y z"]
