@@ -9,7 +9,9 @@ normal distributions of one variance, with equal priors, give the probability of
 Counting and scoring work on different strings and on different grams: the corpus is reduced to the distinct strings, those to
 grams of ``order + 1`` characters with their counts, and each distinct gram gets its log ratio once.
 
-Defined cases: null URLs and URLs without ``://`` have empty host and path, fit no rule and are scored as the empty string;
+Rules read host and path; the models read the whole URL, scheme, query and fragment included.
+
+Defined cases: null URLs and URLs without ``://`` have empty host and path and fit no rule; a null URL is scored as the empty string;
 repeated URLs get the same verdict; without settled URLs of both kinds every ratio is 0 and the verdict is ``allow``; an empty table
 gives no rows; only the id and URL columns are read.
 """
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sizes import fits
-from .common import checkpointed, table
+from .common import checkpointed, split_join, table
 
 # The rules of the query.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -95,26 +97,25 @@ def score_strings(strings: DataFrame, ratios: DataFrame, order: int = ORDER) ->
 def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, order: int = ORDER) -> DataFrame:
     """``page_id, host, path, rule, score, p_allow, verdict`` for every row."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
-    parts = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
+    parts = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), F.coalesce(F.col(url), F.lit("")).alias("s"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    judged = parts.select("*", rule.alias("rule"), says.alias("says"), F.concat("host", "path").alias("s"))
+    judged = parts.select("*", rule.alias("rule"), says.alias("says"))
     held = F.conv(F.substring(F.md5(F.col("s").cast("binary")), 1, 8), 16, 10).cast("long") % CALIBRATION_FOLDS == 0
-    strings = checkpointed(judged.groupBy("s").agg(F.min("says").alias("says")).withColumn("held", held))
+    strings = checkpointed(judged.groupBy("s").agg(F.min("says").alias("says"), F.count(F.lit(1)).alias("n")).withColumn("held", held))
     counts = strings.select("says", "held", F.explode(grams_of(F.col("s"), order)).alias("gram")).groupBy("gram").agg(
         F.count_if((F.col("says") == "allow") & ~F.col("held")).alias("good"), F.count_if((F.col("says") == "block") & ~F.col("held")).alias("bad")
     )
     ratios = checkpointed(gram_ratios(checkpointed(counts), order))
     scores = checkpointed(score_strings(strings, ratios, order).join(strings, "s"))
     fit = {r["says"]: r for r in scores.filter("held AND says IS NOT NULL").groupBy("says").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("score").alias("m"), F.var_pop("score").alias("v")).collect()}
+        F.count(F.lit(1)).alias("n_urls"), F.avg("score").alias("m"), F.var_pop("score").alias("v")).collect()}
     p_allow = F.when(F.col("score") >= 0, 1.0).otherwise(0.0)
     if len(fit) == 2:
         good, bad = fit["allow"], fit["block"]
-        variance = max((good["n"] * good["v"] + bad["n"] * bad["v"]) / (good["n"] + bad["n"]), 1e-6)
+        variance = max((good["n_urls"] * good["v"] + bad["n_urls"] * bad["v"]) / (good["n_urls"] + bad["n_urls"]), 1e-6)
         logit = ((F.col("score") - bad["m"]) ** 2 - (F.col("score") - good["m"]) ** 2) / (2 * variance)
         p_allow = 1 / (1 + F.exp(-logit))
-    verdicts = scores.select("s", "score", p_allow.alias("p_allow"))
-    return judged.join(verdicts, "s", "left").select(
+    return split_join(judged, scores.select("s", "score", p_allow.alias("p_allow"), "n"), ["s"]).select(
         "page_id", "host", "path", "rule", "score", "p_allow",
         F.coalesce("says", F.when(F.col("p_allow") >= 0.5, "allow").otherwise("block")).alias("verdict"),
     )
@@ -145,8 +146,8 @@ def _cases(column: str) -> str:
 def _op5_sql() -> str:
     return f"""
 WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
-  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-judged AS (SELECT *, {_cases("rule")}, {_cases("says")}, host || path AS s FROM parts),
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, coalesce(url, '') AS s FROM pages),
+judged AS (SELECT *, {_cases("rule")}, {_cases("says")} FROM parts),
 base AS (SELECT s, min(says) AS says FROM judged GROUP BY s),
 strings AS (SELECT s, says, CAST('0x' || substr(md5(s), 1, 8) AS BIGINT) % {CALIBRATION_FOLDS} = 0 AS held FROM base),
 grams AS (SELECT s, says, held, substr(repeat(chr(2), {ORDER}) || s || chr(3), i, {ORDER + 1}) AS gram FROM (SELECT *, unnest(range(1, length(s) + 2)) AS i FROM strings)),

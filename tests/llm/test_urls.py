@@ -56,3 +56,12 @@ def test_unruled_urls_follow_their_likeness(spark):
     rows += [(5000, "http://s3.org/good/77"), (5001, "http://s3.org/es/bad/77"), (5001, "http://s3.org/es/bad/77")]
     got = [(r["page_id"], r["verdict"]) for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).filter("page_id >= 5000").orderBy("page_id").collect()]
     assert got == [(5000, "allow"), (5001, "block"), (5001, "block")]
+
+
+def test_the_whole_url_is_judged(spark):
+    rows = [(i, f"http://s{i}.com/a?p=/good/{i * 7}") for i in range(200)] + [(1000 + i, f"http://s{i}.net/es/a?p=/wrong/bad/{i * 7}") for i in range(200)]
+    rows += [(5000, "http://x.org/p?u=/good/77"), (5001, "http://x.org/p?u=/wrong/bad/77"), (5002, "p=/good/77"), (5003, "p=/wrong/bad/77"), (5004, "http://x.org/" + "wrong/bad/" * 3000), (5005, None), (5005, None)]
+    docs = spark.createDataFrame([(*r, "h", "p", "s", 1, 2) for r in rows], "page_id long, url string, host string, path string, s string, n int, score int")
+    got = {r["page_id"]: r for r in urls.filter_urls(docs).filter("page_id >= 5000").collect()}
+    assert [got[i]["verdict"] for i in range(5000, 5005)] == ["allow", "block", "allow", "block", "block"]
+    assert len({got[i]["score"] for i in range(5000, 5004)}) == 4 and (got[5001]["host"], got[5001]["path"]) == ("x.org", "/p")
