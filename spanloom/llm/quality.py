@@ -4,8 +4,8 @@ Every document gets counts of its words, symbols, repeated lines and repeated wo
 (lower case, white space collapsed), hashed, counted once per document within each host, and removed where they occur in more
 documents of the host than the limit. A document that loses most of its words that way is depleted and rejected.
 
-A line is over the limit in documents of a host when it is in more than ``max(MIN_DOCS, MAX_SHARE * documents of the host)`` of
-them. So a host has at most ``lines per document / MAX_SHARE`` such lines, whatever its size, and the list per host is short.
+A line is over the limit when it is in more than ``MIN_DOCS`` documents of its host, however large the host is. The lines of all
+documents meet the lines over the limit by host and hash; what is found goes back to the texts as one short array each.
 
 Defined cases: null text has no words (``base_failed``, not kept); a null host is a host of its own; empty lines are neither
 counted nor removed; repeated rows count as documents; an empty table gives no rows; only the named columns are read, so further
@@ -18,14 +18,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sizes import fits
-from .common import ASCII_WS, bind, table
+from .common import ASCII_WS, bind, checkpointed, split_join, table
 
-MAX_SHARE = 0.10
 MIN_DOCS = 10
 MIN_WORDS = 20
 WINDOW = 8
-#: (host, line) pairs up to this number are broadcast (16 bytes each); beyond it the join is left to Spark.
+#: (host, line) pairs (16 bytes each) and texts with their lines over the limit that are broadcast; beyond it they meet in a shuffle.
 MAX_BROADCAST_LINES = 200_000
+MAX_BROADCAST_TEXTS = 100_000
+#: Copies of a text's lines, so that copies of a text spread over tasks.
+SALTS = 16
 
 _WS = " \t\n\x0b\f\r"
 
@@ -75,25 +77,33 @@ def normal_lines(text: Column) -> Column:
     return F.transform(F.split(flat, "\n"), lambda x: F.trim(x))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``host, line_hash, n_docs``: lines that are in more documents of their host than the limit."""
+def host_lines(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+    """``host, th, line_hash``: every different line of a document once; ``host`` is not null here, ``th`` is the hash of the text."""
     per_doc = F.array_distinct(F.transform(F.filter(normal_lines(F.col(text)), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    # a hash of null stands for the document itself, so one aggregation counts lines and documents
-    marks = docs.select(F.col(host).alias("host"), F.explode(F.concat(per_doc, F.array(F.lit(None).cast("long")))).alias("line_hash"))
-    counted = marks.groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("n_docs"))
-    sizes = counted.filter("line_hash IS NULL").select(F.col("host").alias("of"), F.col("n_docs").alias("host_docs"))
-    lines = counted.filter(F.col("line_hash").isNotNull() & (F.col("n_docs") > min_docs))
-    return lines.join(sizes, lines["host"].eqNullSafe(sizes["of"])).filter(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line_hash", "n_docs")
+    return docs.select(_host_key(host).alias("host"), F.xxhash64(text).alias("th"), F.explode(per_doc).alias("line_hash"))
 
 
-def filter_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), host: str = "source", text: str = "text", **limits) -> DataFrame:
+def _host_key(host: str) -> Column:
+    return F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit(""))
+
+
+def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``host, line_hash, n``: those of :func:`host_lines` that are in more than ``min_docs`` documents of their host."""
+    return lines.groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs)
+
+
+def filter_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), host: str = "source", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """``keep`` columns, base counts, ``clean_text``, ``n_lines_removed``, ``n_words_left``, ``base_failed``, ``kept``."""
-    frequent = frequent_lines(docs, host, text, **limits)
-    lists = frequent.groupBy("host").agg(F.collect_list("line_hash").alias("hot_lines")).withColumnRenamed("host", "hot_host")
-    if fits(frequent, MAX_BROADCAST_LINES):
-        lists = F.broadcast(lists)
-    rows = docs.select(*keep, F.col(host).alias("line_host"), text)
-    joined = rows.join(lists, rows["line_host"].eqNullSafe(lists["hot_host"]), "left").drop("hot_host")
+    lines = checkpointed(host_lines(docs, host, text))
+    frequent = checkpointed(frequent_lines(lines, min_docs))
+    found = lines.join(F.broadcast(frequent.drop("n")), ["host", "line_hash"]) if fits(frequent, MAX_BROADCAST_LINES) else split_join(lines, frequent, ["host", "line_hash"])
+    of_text = checkpointed(found.groupBy(F.col("host").alias("line_host"), F.col("th").alias("line_text")).agg(F.collect_set("line_hash").alias("hot_lines")))
+    rows = docs.select(*keep, text, _host_key(host).alias("line_host"), F.xxhash64(text).alias("line_text"))
+    if fits(of_text, MAX_BROADCAST_TEXTS):
+        joined = rows.join(F.broadcast(of_text), ["line_host", "line_text"], "left")
+    else:
+        salted = of_text.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64(*keep), F.lit(SALTS)).cast("int")).join(salted, ["line_host", "line_text", "salt"], "left")
     counted = base_counts(joined, (*keep, "hot_lines"), text)
     lines = F.arrays_zip(F.split(F.coalesce(text, F.lit("")), "\n").alias("raw"), normal_lines(F.col(text)).alias("norm"))
     marked = F.transform(lines, lambda x: F.struct(x["raw"].alias("raw"), F.array_contains("hot_lines", F.xxhash64(x["norm"])).alias("hot")))
@@ -129,9 +139,7 @@ windows AS (SELECT doc_id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS c FROM windows) WHERE c > 1),
 rep AS (SELECT doc_id, sum(least({WINDOW}, coalesce(nxt - i, {WINDOW}))) AS n_repeat_words
   FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM twice) GROUP BY doc_id),
-hosts AS (SELECT source, count(*) AS host_docs FROM d GROUP BY source),
-hot AS (SELECT f.source, norm FROM filled f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source GROUP BY f.source, norm, host_docs
-  HAVING count(DISTINCT doc_id) > greatest({MIN_DOCS}, {MAX_SHARE} * host_docs)),
+hot AS (SELECT source, norm FROM filled GROUP BY source, norm HAVING count(DISTINCT doc_id) > {MIN_DOCS}),
 lost AS (SELECT doc_id, sum(n) AS n FROM filled f SEMI JOIN hot h ON f.norm = h.norm AND f.source IS NOT DISTINCT FROM h.source GROUP BY doc_id),
 counts AS (
   SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,

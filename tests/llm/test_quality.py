@@ -32,3 +32,19 @@ def test_frequent_lines_go_and_depleted_documents_fail(spark):
     assert not got[50]["kept"] and not got[50]["base_failed"] and got[50]["n_lines_removed"] == 1
     assert got[51]["kept"] and got[52]["kept"] and got[52]["clean_text"] == body(52) and got[53]["base_failed"] and not got[53]["kept"]
     assert quality.filter_lines(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
+
+
+def test_the_limit_does_not_grow_with_the_host(spark, monkeypatch):
+    """A line in 60 of 1,000 documents of a host goes; one in 10 stays. Broadcast and shuffled joins agree."""
+    body = lambda i: " ".join(f"v{i}x{j}" for j in range(25))
+    rows = [(i, "big", (f"Licence  line {'a ' * 30}\n" if i < 60 else "rare line\n" if i < 70 else "") + body(i)) for i in range(1000)]
+    rows += [(2000 + i, "big", rows[0][2]) for i in range(30)] + [(3000, None, rows[0][2]), (5000, "big", rows[0][2]), (5000, "big", rows[0][2])]
+    rows += [(4000, "big", ("long words " * 50_000) + "\nLICENCE LINE " + "a " * 30)]
+    schema = "doc_id long, source string, text string, host string, th int, line_hash int, n int, hot_lines int, salt int"
+    docs = spark.createDataFrame([(*r, "h", 1, 2, 3, 4, 5) for r in rows], schema)
+    fast = sorted(map(tuple, quality.filter_lines(docs).collect()))
+    monkeypatch.setattr(quality, "MAX_BROADCAST_LINES", 0)
+    monkeypatch.setattr(quality, "MAX_BROADCAST_TEXTS", 0)
+    assert sorted(map(tuple, quality.filter_lines(docs).collect())) == fast
+    removed = {r["doc_id"]: r["n_lines_removed"] for r in quality.filter_lines(docs).collect()}
+    assert [i for i, k in removed.items() if k] == [i for i in removed if i < 60 or 2000 <= i < 2030 or i in (4000, 5000)] and len(fast) == len(rows)
