@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.sizes import cut_lineage, fits
+from ..functions.terms import BLOCK_CHARS, found_terms
 from ..functions.vectors import MAX_BROADCAST_QUERIES, cosine, hash_embed, top_k
 
 OVER_FETCH = 5
@@ -117,87 +116,81 @@ def compile_query(phrases: Column, any_of: Column, min_year: Column, rung: int,
 # ---- search over a corpus table -----------------------------------------------------------
 
 
-def _contains_all(text: Column, terms: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.contains(text, F.lit(t)) for t in terms], F.lit(True))
-
-
-def _contains_any(text: Column, terms: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms], F.lit(False))
+_REQUEST = "request_id {}, phrases array<string>, any_of array<string>, min_year int"
 
 
-def _clean(term: str) -> str:
-    return term.translate(str.maketrans("", "", '"():[]')).strip().lower()
+def as_requests(spark: SparkSession, requests: list[dict]) -> DataFrame:
+    """A short list of requests as the table that the searches read."""
+    kind = "string" if any(isinstance(r["request_id"], str) for r in requests) else "int"
+    rows = [(r["request_id"], list(r["phrases"]), list(r["any_of"]), r["min_year"]) for r in requests]
+    return spark.createDataFrame(rows, _REQUEST.format(kind))
 
 
-def _rungs(request: dict, text: Column, peer: Column, year: Column, max_year: int) -> list[Column]:
-    phrases = [p for p in map(_clean, request["phrases"]) if p]
-    any_of = [t for t in map(_clean, request["any_of"]) if t]
-    variants = list(dict.fromkeys(v for t in any_of for v in ([t] if " " in t or t.endswith("s") else [t, t + "s"])))
-    relaxed = _contains_all(text, phrases)
-    if variants:
-        relaxed = relaxed & _contains_any(text, variants)
-    strict = relaxed & (peer == "T")
-    if request["min_year"]:
-        strict = strict & year.between(request["min_year"], max_year)
-    words = [w for p in phrases for w in p.split()] + any_of
-    return [strict, relaxed, _contains_any(text, words)]
+def _terms_of(requests: DataFrame) -> DataFrame:
+    """Requests with their cleaned ``all`` (phrases), ``some`` (words and plurals) and ``words``; blank requests go."""
+    empty = F.array().cast("array<string>")
+    clean = lambda c: F.filter(F.transform(F.coalesce(c, empty), lambda t: F.lower(clean_term(t))), lambda t: t != "")
+    out = requests.withColumn("all", F.array_distinct(clean(F.col("phrases")))).withColumn("__any", clean(F.col("any_of")))
+    plural = F.transform("__any", lambda t: F.when(F.contains(t, F.lit(" ")) | F.endswith(t, F.lit("s")), F.array(t)).otherwise(F.array(t, F.concat(t, F.lit("s")))))
+    words = F.filter(F.flatten(F.transform("all", lambda p: F.split(p, T.WS + "+"))), lambda w: w != "")
+    return out.withColumn("some", F.array_distinct(F.flatten(plural))).withColumn("words", F.array_distinct(F.concat(words, "__any"))).drop("__any").filter(F.size("words") > 0)
 
 
 def search_ladder(
-    requests: list[dict], corpus: DataFrame, *, k: int = 3, max_rows: int | None = None, max_year: int = MAX_YEAR,
-    dim: int = 64,
+    requests: DataFrame | list[dict], corpus: DataFrame, *, k: int = 3, max_rows: int | None = None, max_year: int = MAX_YEAR,
+    dim: int = 64, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """Answer requests (request_id, phrases, any_of, min_year) from a corpus table.
+    """Answer a table of requests (request_id, phrases, any_of, min_year) from a corpus table, however many they are.
 
-    All rungs of all requests are evaluated in one scan of the corpus (doc_id, title,
-    description, peerreviewed, year); the first rung with at least three described documents
-    answers. Its documents are ranked by cosine to the request text. Every match takes part;
-    ``max_rows`` caps them in doc_id order when given.
+    The terms of all requests are looked for in one scan of the corpus (doc_id, title, description, peerreviewed, year) per block
+    of terms. What leaves it is a row per document and term; requests meet these rows by term, and the rungs follow from counts: all
+    phrases and one of the other terms (strict: reviewed and in time as well). The first rung with at least three described
+    documents answers; only requests without an answer go on to the third rung, any word. Its documents are ranked by cosine to the
+    request text. Every match takes part; ``max_rows`` caps them in doc_id order when given. Blank requests have no answer.
     """
-    described = describe_docs(corpus)
-    low = F.lower("description_text")
-    year = F.expr("try_cast(year AS INT)")
-    # a request that is blank once cleaned has no answer
-    asked = [r for r in requests if any(_clean(t) for t in (*r["phrases"], *r["any_of"]))]
-    tags = [F.lit(None).cast("struct<request_id:int,rung:int>")] if not asked else []
-    for r in asked:
-        strict, relaxed, broad = _rungs(r, low, F.col("peerreviewed"), year, max_year)
-        for rung, ok in ((1, strict), (2, relaxed), (3, broad)):
-            tags.append(F.when(ok, F.struct(F.lit(r["request_id"]).alias("request_id"), F.lit(rung).alias("rung"))))
-    matched = described.withColumn(
-        "m", F.explode(F.filter(F.array(*tags), lambda t: t.isNotNull()))
-    ).select("m.request_id", "m.rung", "doc_id", "title", "year", "description_text")
-    counts = matched.groupBy("request_id", "rung").agg(F.count(F.lit(1)).alias("n"))
-    chosen = counts.filter(F.col("n") >= MIN_RUNG_DOCS).groupBy("request_id").agg(F.min("rung").alias("rung"))
-    rows = matched.join(F.broadcast(chosen), ["request_id", "rung"])  # one row per request at most
+    requests = as_requests(corpus.sparkSession, requests) if isinstance(requests, list) else requests
+    asked = cut_lineage(_terms_of(requests))
+    described = describe_docs(corpus).select("doc_id", "title", "year", "peerreviewed", "description_text")
+    described = described.withColumn("row", F.xxhash64(*described.columns))
+    terms = asked.select(F.explode(F.array_union(F.array_union("all", "some"), "words")).alias("term")).distinct()
+    held = cut_lineage(found_terms(described.withColumn("low", F.lower("description_text")), "low", ["doc_id", "row", "year", "peerreviewed"], terms, block_chars))
+    is_all, is_some = F.col("role") == "all", F.col("role") == "some"
+    roles = F.concat(F.transform("all", lambda t: F.struct(F.lit("all").alias("role"), t.alias("term"))), F.transform("some", lambda t: F.struct(F.lit("some").alias("role"), t.alias("term"))))
+    wanted = asked.select("request_id", "min_year", F.size("all").alias("n_all"), F.size("some").alias("n_some"), F.inline(roles))
+    met = held.join(wanted, "term").groupBy("request_id", "doc_id", "row").agg(
+        F.count_if(is_all).alias("has_all"), F.count_if(is_some).alias("has_some"),
+        *[F.first(c).alias(c) for c in ("year", "peerreviewed", "min_year", "n_all", "n_some")],
+    ).filter((F.col("has_all") == F.col("n_all")) & ((F.col("n_some") == 0) | (F.col("has_some") > 0)))
+    late = F.coalesce("min_year", F.lit(0)) == 0
+    strict = (F.col("peerreviewed") == "T") & (late | F.coalesce(F.expr("try_cast(year AS INT)").between(F.col("min_year"), max_year), F.lit(False)))
+    relaxed = cut_lineage(met.select("request_id", "doc_id", "row", F.coalesce(strict, F.lit(False)).alias("strict")))
+    counts = relaxed.groupBy("request_id").agg(F.count_if("strict").alias("n1"), F.count(F.lit(1)).alias("n2"))
+    chosen = counts.filter(F.col("n2") >= MIN_RUNG_DOCS).select("request_id", F.when(F.col("n1") >= MIN_RUNG_DOCS, 1).otherwise(2).alias("rung"))
+    first = relaxed.join(chosen, "request_id").filter((F.col("rung") == 2) | F.col("strict")).select("request_id", "rung", "doc_id", "row")
+    broad = asked.join(chosen, "request_id", "left_anti").select("request_id", F.explode("words").alias("term"))
+    any_word = held.join(broad, "term").select("request_id", F.lit(3).alias("rung"), "doc_id", "row").distinct()
+    enough = any_word.groupBy("request_id").agg(F.count(F.lit(1)).alias("n3")).filter(F.col("n3") >= MIN_RUNG_DOCS).select("request_id")
+    rows = first.unionByName(any_word.join(enough, "request_id"))
     if max_rows is not None:
         cap = Window.partitionBy("request_id").orderBy("doc_id")
         rows = rows.withColumn("__n", F.row_number().over(cap)).filter(F.col("__n") <= max_rows).drop("__n")
-    texts = {r["request_id"]: " ".join([*r["phrases"], *r["any_of"]]) for r in asked}
-    query = reduce(
-        lambda acc, kv: F.when(F.col("request_id") == kv[0], F.lit(kv[1])).otherwise(acc), texts.items(), F.lit("")
-    )
-    return rerank(rows.withColumn("query", query), k, dim=dim)
-
-
-def simple_search_rerank(queries: list[tuple[int, str]], corpus: DataFrame, *, k: int = 3, dim: int = 64) -> DataFrame:
-    """One broad search per query text, all its matches ranked, top k."""
-    requests = [
-        {"request_id": i, "phrases": [], "any_of": text.split(), "min_year": None} for i, text in queries if text.strip()
-    ]
-    described = describe_docs(corpus)
-    low = F.lower("description_text")
-    tags = F.array(*[
-        F.when(
-            _contains_any(low, [w.lower() for w in r["any_of"]]),
-            F.struct(F.lit(r["request_id"]).alias("request_id"), F.lit(" ".join(r["any_of"])).alias("query")),
-        )
-        for r in requests
-    ])
-    rows = described.withColumn("m", F.explode(F.filter(tags, lambda t: t.isNotNull()))).select(
-        "m.request_id", "m.query", "doc_id", "title", "year", "description_text"
-    )
-    return rerank(rows, k, dim=dim)
+    query = F.concat_ws(" ", F.coalesce("phrases", F.array().cast("array<string>")), F.coalesce("any_of", F.array().cast("array<string>")))
+    found = rows.join(described.drop("peerreviewed"), ["doc_id", "row"]).drop("row")
+    return rerank(found.join(asked.select("request_id", query.alias("query")), "request_id"), k, dim=dim)
+
+
+def simple_search_rerank(queries: DataFrame | list[tuple[int, str]], corpus: DataFrame, *, k: int = 3, dim: int = 64, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One broad search per query text (request_id, query), all its matches ranked, top k; blank queries have none."""
+    if isinstance(queries, list):
+        queries = corpus.sparkSession.createDataFrame(queries, "request_id int, query string")
+    words = F.filter(F.split("query", T.WS + "+"), lambda w: w != "")
+    asked = queries.select("request_id", words.alias("words")).filter(F.size("words") > 0).select("request_id", F.array_join("words", " ").alias("query"), "words")
+    wanted = asked.select("request_id", F.explode(F.array_distinct(F.transform("words", F.lower))).alias("term"))
+    described = describe_docs(corpus).select("doc_id", "title", "year", "description_text")
+    described = described.withColumn("row", F.xxhash64(*described.columns))
+    held = found_terms(described.withColumn("low", F.lower("description_text")), "low", ["doc_id", "row"], wanted.select("term").distinct(), block_chars)
+    rows = held.join(wanted, "term").select("request_id", "doc_id", "row").distinct().join(described, ["doc_id", "row"]).drop("row")
+    return rerank(rows.join(asked.select("request_id", "query"), "request_id"), k, dim=dim)
 
 
 def rerank(rows: DataFrame, k: int, *, dim: int = 64) -> DataFrame:
@@ -223,11 +216,3 @@ def citation_shape(ranked: DataFrame, source: str = "eric_live", url: str = "htt
         F.col("description_text").alias("text"), "score", meta.alias("metadata"),
     )
 
-
-def small_requests(requests: DataFrame, max_rows: int = 1_000) -> list[dict]:
-    """Requests as driver rows, under a size check."""
-    rows = requests.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} search requests; run them in groups")
-    return [r.asDict(recursive=True) for r in rows]
-
