@@ -14,6 +14,7 @@ from ..operators import consolidate as K
 from ..operators import investigate as I
 from ..operators import match as M
 from ..operators import report as R
+from ..operators.turns import REPAIR, ask_twice
 from ..operators.parse import DEFAULT_WINDOW_TOKENS, guard_english, guard_nonempty, parse_documents
 
 
@@ -32,30 +33,35 @@ class ModelReplies(NamedTuple):
     replies: DataFrame
 
 
-def ask_model(documents: DataFrame, lexicon: DataFrame, complete: Callable[[list[str]], list[str]], *, window_tokens: int = DEFAULT_WINDOW_TOKENS) -> ModelReplies:
+def ask_model(
+    documents: DataFrame, lexicon: DataFrame, complete: Callable[[list[str]], list[str]], *, window_tokens: int = DEFAULT_WINDOW_TOKENS, repair: str | None = REPAIR,
+) -> ModelReplies:
     """Put every window, with its lexicon hints, to a model; parsed replies ``doc_id, window_idx, raw, reply, parse_failed``.
 
     ``complete`` takes a batch of prompts inside a task and gives as many replies; null is a failed reply. Replies are written to
-    the checkpoint folder, as a lost executor must not ask twice and later stages must see the same answers.
+    the checkpoint folder, as a lost executor must not ask twice and later stages must see the same answers. A window whose reply holds no
+    JSON object is asked once more, with ``repair`` behind its prompt; only these windows take part in the second round.
     """
     guarded = guard_english(guard_nonempty(documents)).select("doc_id", "text")
     windows = parse_documents(guarded, window_tokens, sentences=False).select("doc_id", F.inline("windows"))
     hints = M.window_hints(M.lexicon_hits(guarded, lexicon), windows)
-    answered = I.call_model(M.audit_prompts(windows, hints), complete).drop("prompt")
-    return ModelReplies(hints, C.parse_responses(cut_lineage(answered)))
+    answered = ask_twice(M.audit_prompts(windows, hints), complete, ("doc_id", "window_idx"), repair)
+    return ModelReplies(hints, C.parse_responses(answered))
 
 
 def run_audit(
     documents: DataFrame, vectors: DataFrame, rules: Sequence[C.Rule] = C.DEFAULT_RULES, *,
     window_tokens: int = DEFAULT_WINDOW_TOKENS, max_windows: int | None = None, live: DataFrame | None = None,
     materialize: bool = False, policy: I.Policy = I.Policy(), parsed: DataFrame | None = None,
+    investigator: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Audit:
     """Audit every document of a table against an evidence store.
 
     The texts are read in one pass; what leaves it is one narrow row per document. Later
     stages read only that. With ``materialize`` the narrow rows are written to the checkpoint
     folder, so several outputs of one audit share the pass and a lost executor does not
-    repeat it. With ``parsed`` (see :func:`ask_model`) the candidates are those of a model; the rules only serve its verdicts.
+    repeat it. With ``parsed`` (see :func:`ask_model`) the candidates are those of a model; the rules only serve its verdicts. An ``investigator`` takes
+    the place of the verdict rules: a function from candidates to investigations, such as :func:`.turns.investigate_with_model`.
     """
     if parsed is None:
         audited = C.audit_documents(documents, rules, window_tokens=window_tokens, max_windows=max_windows)
@@ -64,7 +70,7 @@ def run_audit(
     if materialize:
         audited = cut_lineage(audited)
     candidates = C.candidates_of(audited)
-    investigations = I.investigate(candidates, vectors, rules, live=live, policy=policy)
+    investigations = I.investigate(candidates, vectors, rules, live=live, policy=policy) if investigator is None else investigator(candidates)
     if materialize:
         investigations = cut_lineage(investigations)
     decided = K.retract_first_low(investigations)

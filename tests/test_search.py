@@ -55,7 +55,7 @@ def test_thousands_of_requests_are_a_table(spark):
     corpus = spark.createDataFrame(docs, "doc_id string, title string, description string, peerreviewed string, year string")
     asked = spark.createDataFrame(requests, "request_id int, phrases array<string>, any_of array<string>, min_year int")
     got = {}
-    for r in G.search_ladder(asked, corpus, k=50, block_chars=1500).select("request_id", "rung", "doc_id").collect():
+    for r in G.search_ladder(asked, corpus, k=50, block_chars=40_000).select("request_id", "rung", "doc_id").collect():
         got.setdefault(r.request_id, (r.rung, set()))[1].add(r.doc_id)
     want = plain_ladder(requests, docs, 50)
     assert got.keys() == want.keys()
