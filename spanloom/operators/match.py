@@ -6,31 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import built_once
-from ..functions.sizes import broadcast_if_small
-from ..functions.spans import mark_matches, match_spans, pieces, points_in_intervals
-from ..functions.text import WORD, escape_literal, lit_let, word_regex
+from ..functions.sizes import broadcast_if_small, cut_lineage
+from ..functions.spans import match_spans, points_in_intervals
+from ..functions.terms import BLOCK_CHARS, term_spans
+from ..functions.text import escape_literal, word_regex
 from ..functions.wordtrie import batched_regexes
 from .lexicon import condition_of, note_with_condition
 from .parse import chunk_table
 
 DEFAULT_BATCH = 500
-#: Terms that begin or end with a sign; each is a pattern of its own.
-MAX_ODD_TERMS = 5_000
+#: Vocabularies up to these numbers of terms are patterns of the plan; larger ones are automata in the tasks.
 MAX_PATTERN_TERMS = 50_000
+MAX_LOOKUP_TERMS = 5_000
 HINT_CAP = 20
 SAMPLES = 3
 
 
-def lexicon_terms(lexicon: DataFrame, max_terms: int = MAX_PATTERN_TERMS) -> list[str]:
-    """The vocabulary in lexicon order, read to the driver under a size check.
-
-    The patterns built from it are part of the query plan, so its size is bounded. Beyond the
-    bound the scan is run per slice of the lexicon with :func:`sliced_lexicon_hits`.
-    """
+def lexicon_terms(lexicon: DataFrame, max_terms: int = MAX_PATTERN_TERMS) -> list[str] | None:
+    """The vocabulary in lexicon order, read to the driver under a size check; None where it has more terms."""
     entries = lexicon_entries(lexicon)
     rows = entries.select("term", *[c for c in entries.columns if c == "ord"]).limit(max_terms + 1).collect()
     if len(rows) > max_terms:
-        raise ValueError(f"lexicon has more than {max_terms} terms; use sliced_lexicon_hits")
+        return None
     return [r["term"] for r in sorted(rows, key=lambda r: (r["ord"] if "ord" in r else 0, r["term"]))]
 
 
@@ -67,27 +64,36 @@ def raw_hits(documents: DataFrame, terms: list[str], batch_size: int = DEFAULT_B
     return hits.select("doc_id", "h.char_start", "h.char_end", F.lower("h.text").alias("term"))
 
 
-def lexicon_hits(documents: DataFrame, lexicon: DataFrame, batch_size: int = DEFAULT_BATCH) -> DataFrame:
-    """Whole-document scan: one row per hit with the attributes of its lexicon entry."""
-    terms = lexicon_terms(lexicon)
-    hits = raw_hits(documents, terms, batch_size)
-    return _with_entries(hits, lexicon)
+def lexicon_hits(documents: DataFrame, lexicon: DataFrame, batch_size: int = DEFAULT_BATCH, max_pattern_terms: int = MAX_PATTERN_TERMS) -> DataFrame:
+    """Whole-document scan: one row per hit with the attributes of its lexicon entry, for vocabularies of any size.
 
+    A small vocabulary is a pattern per batch. A larger one is cut into the same batches (longest terms first) and searched by
+    automata, whose hits never overlap within a batch either.
+    """
+    terms = lexicon_terms(lexicon, max_pattern_terms)
+    if terms is None:
+        hits = term_spans(documents, "text", ["doc_id"], term_batches(lexicon, batch_size), "batch").select("doc_id", "char_start", "char_end", "term")
+        return _with_entries(hits.distinct(), lexicon)
+    return _with_entries(raw_hits(documents, terms, batch_size), lexicon)
 
-def sliced_lexicon_hits(documents: DataFrame, lexicon: DataFrame, slices: int, batch_size: int = DEFAULT_BATCH) -> DataFrame:
-    """The same scan for vocabularies too large for one set of patterns.
 
-    The lexicon is cut by term length into slices of whole batches, longest first, which is
-    the order batches are formed in; every slice is one pass over the documents.
-    """
-    terms = lexicon_terms(lexicon, max_terms=slices * MAX_PATTERN_TERMS)
-    ordered = sorted(dict.fromkeys(terms), key=len, reverse=True)
-    step = -(-len(ordered) // (slices * batch_size)) * batch_size
-    out = None
-    for i in range(0, len(ordered), step):
-        part = raw_hits(documents, ordered[i : i + step], batch_size)
-        out = part if out is None else out.unionByName(part)
-    return _with_entries(out.distinct(), lexicon)
+def term_batches(lexicon: DataFrame, batch_size: int = DEFAULT_BATCH) -> DataFrame:
+    """``term, batch``: terms by falling length, ties in lexicon order, numbered in batches. Only lengths meet in one task."""
+    entries = lexicon_entries(lexicon)
+    order = [F.col("ord"), F.col("term")] if "ord" in entries.columns else [F.col("term")]
+    sized = entries.withColumn("size", F.length("term"))
+    longer = sized.groupBy("size").count()
+    before = longer.select("size", (F.coalesce(F.sum("count").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("size").orderBy(*order)) - 1
+    return sized.join(F.broadcast(before), "size").select("term", F.floor(rank / F.lit(batch_size)).cast("long").alias("batch"))
+
+
+def sliced_lexicon_hits(documents: DataFrame, lexicon: DataFrame, slices: int, batch_size: int = DEFAULT_BATCH) -> DataFrame:
+    """As :func:`lexicon_hits`, by automata for a vocabulary of any size; ``slices`` is the least number of passes over the documents."""
+    batches = cut_lineage(term_batches(lexicon, batch_size))
+    size = batches.agg(F.sum(F.length("term") + 64)).collect()[0][0] or 0
+    hits = term_spans(documents, "text", ["doc_id"], batches, "batch", block_chars=min(BLOCK_CHARS, max(1, -(-size // slices))))
+    return _with_entries(hits.select("doc_id", "char_start", "char_end", "term").distinct(), lexicon)
 
 
 def _with_entries(hits: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -115,9 +121,16 @@ def _term_spans(terms: tuple[str, ...]) -> Column:
     return F.flatten(F.array(*[spans_of(t) for t in terms]))
 
 
-def lexicon_lookup(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Per chunk and per term: every term is searched on its own, so matches may overlap."""
-    terms = lexicon_terms(lexicon, max_terms=5_000)
+def lexicon_lookup(chunks: DataFrame, lexicon: DataFrame, max_terms: int = MAX_LOOKUP_TERMS) -> DataFrame:
+    """Per chunk and per term: every term is searched on its own, so matches may overlap. Vocabularies of any size."""
+    entry = lexicon_entries(lexicon).select(
+        "term", "category", "alternatives", note_with_condition(F.col("note"), F.col("condition")).alias("note")
+    )
+    terms = lexicon_terms(lexicon, max_terms=max_terms)
+    if terms is None:
+        placed = term_spans(chunks.withColumnRenamed("char_start", "__at"), "text", ["doc_id", "chunk_idx", "chunk_id", "__at"], entry.select("term"))
+        moved = placed.withColumns({"char_start": F.col("__at") + F.col("char_start"), "char_end": F.col("__at") + F.col("char_end")}).drop("__at")
+        return moved.join(broadcast_if_small(entry, MAX_PATTERN_TERMS), "term")
 
     # One cheap pass with the shared pattern drops the chunks that hold no term at all.
     any_term = "|".join(escape_literal(t) for t in terms)
@@ -128,67 +141,21 @@ def lexicon_lookup(chunks: DataFrame, lexicon: DataFrame) -> DataFrame:
         "doc_id", "chunk_idx", "chunk_id", F.col("h.term").alias("term"),
         (F.col("__at") + F.col("h.s")).alias("char_start"), (F.col("__at") + F.col("h.e")).alias("char_end"),
     )
-    entry = lexicon_entries(lexicon).select(
-        "term", "category", "alternatives", note_with_condition(F.col("note"), F.col("condition")).alias("note")
-    )
-    return rows.join(broadcast_if_small(entry, 5_000), "term")
+    return rows.join(broadcast_if_small(entry, MAX_LOOKUP_TERMS), "term")
 
 
 def document_lookup(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     return lexicon_lookup(chunk_table(documents), lexicon)
 
 
-@built_once
-def _grams(sizes: tuple[int, ...]) -> Column:
-    """Runs of ``sizes`` words in the column ``text``, in lower case, as they are spaced in it: array of (s, e, gram)."""
-
-    def runs(p: Column) -> Column:
-        def at(i: Column) -> Column:
-            def run(n: int) -> Column:
-                parts = F.slice(p, i + 1, 2 * n - 1)
-                gram = F.lower(F.array_join(parts["text"], "")).alias("gram")
-                return F.struct(F.get(p, i)["char_start"].alias("s"), F.element_at(parts, -1)["char_end"].alias("e"), gram)
-
-            grams = [run(n) for n in sizes]
-            # a run must not reach beyond the last word
-            return F.slice(F.array(*grams), 1, F.size(F.filter(F.array(*[F.lit(2 * n - 2) for n in sizes]), lambda n: i + n <= F.size(p) - 2)))
-
-        words = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: i % 2 == 1)
-        return F.flatten(F.transform(words, at))
-
-    return lit_let(pieces(F.col("text"), mark_matches(f"{WORD}+")), runs)
+def joined_lexicon_hits(documents: DataFrame, lexicon: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Every term on its own, as in :func:`lexicon_lookup`, over whole documents and for vocabularies of any size.
 
-
-def joined_lexicon_hits(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Every term on its own, as in :func:`lexicon_lookup`, for vocabularies of any size: a join, no pattern and no driver list.
-
-    Runs of words (as many as terms have) leave the row of their text with their offset and meet the terms by equality in lower
-    case. As runs begin and end at word boundaries, so do the hits; white space and signs inside a term must be the same. A small
-    lexicon is broadcast; a larger one is joined by its terms, and AQE splits frequent words. Terms that begin or end with something
-    else than a word character cannot be such runs and go through the pattern of :func:`hit_array`, one by one.
-    Null texts have no hits; an empty lexicon gives none; repeated terms count once.
+    Hits of one term never overlap, hits of different terms may. Terms are blocks of a checked size, one pass over the texts each;
+    the attributes of the entries are joined to the hits. Null texts have no hits; an empty lexicon gives none; repeated terms count once.
     """
-    entries = lexicon_entries(lexicon).select("term", "category", "alternatives", note_with_condition(F.col("note"), F.col("condition")).alias("note"))
-    plain = entries.filter(F.rlike("term", F.lit(f"(?s)\\A{WORD}(?:.*{WORD})?\\z")))
-    n_words = plain.select((F.size(F.split("term", f"{WORD}+")) - 1).alias("n")).distinct()
-    sizes = tuple(sorted(r["n"] for r in n_words.collect()))
-    columns = ["doc_id", "char_start", "char_end", "term", "category", "alternatives", "note"]
-    out = None
-    if sizes:
-        grams = documents.select("doc_id", F.inline(_grams(sizes)))
-        side = broadcast_if_small(plain, MAX_PATTERN_TERMS)
-        out = grams.join(side, F.col("gram") == F.col("term")).withColumns(
-            {"char_start": F.col("s"), "char_end": F.col("e")}
-        ).select(columns)
-    odd = entries.join(plain.select("term"), "term", "left_anti")
-    terms = [r["term"] for r in odd.select("term").limit(MAX_ODD_TERMS + 1).collect()]
-    if len(terms) > MAX_ODD_TERMS:
-        raise ValueError(f"more than {MAX_ODD_TERMS} terms begin or end with a sign")
-    if terms or out is None:
-        spans = documents.select("doc_id", F.inline(_term_spans(tuple(sorted(terms)))))
-        found = spans.join(odd, "term").withColumns({"char_start": F.col("s"), "char_end": F.col("e")}).select(columns)
-        out = found if out is None else out.unionByName(found)
-    return out
+    hits = term_spans(documents, "text", ["doc_id"], lexicon_entries(lexicon).select("term"), block_chars=block_chars)
+    return _with_entries(hits, lexicon)
 
 
 def term_doc_counts(hits: DataFrame) -> DataFrame:

@@ -267,9 +267,12 @@ def corpus_lexicon(spark, sf):
     f"""WITH bw AS (SELECT regexp_extract_all(lower(text), '{_WORDS}') AS w FROM benchmark),
 terms AS (SELECT unnest(w) AS term FROM bw UNION SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(range(1, len(w))) AS i FROM bw) UNION SELECT lower(p_name) FROM part),
 tk_p AS (SELECT doc_id, string_split_regex(text, '{_WORDS}') AS g, regexp_extract_all(text, '{_WORDS}') AS m FROM documents),
-tk AS (SELECT doc_id, lower(m[n]) AS w, g[n + 1] AS gap, lower(m[n + 1]) AS nxt, sum(length(g[n]) + length(m[n])) OVER (PARTITION BY doc_id ORDER BY n) - length(m[n]) AS s
+tk AS (SELECT doc_id, n, lower(m[n]) AS w, g[n + 1] AS gap, lower(m[n + 1]) AS nxt, sum(length(g[n]) + length(m[n])) OVER (PARTITION BY doc_id ORDER BY n) - length(m[n]) AS s
   FROM (SELECT *, unnest(range(1, len(m) + 1)) AS n FROM tk_p)),
-found AS (SELECT doc_id, w AS term, s FROM tk UNION ALL SELECT doc_id, w || gap || nxt, s FROM tk WHERE nxt IS NOT NULL)
+tw AS (SELECT doc_id, n, w || gap || nxt AS term, s FROM tk WHERE nxt IS NOT NULL),
+-- two words can only overlap their own next match ('the the the'): of a run of them every second counts
+isl AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id, term ORDER BY n) AS island FROM tw),
+found AS (SELECT doc_id, w AS term, s FROM tk UNION ALL SELECT doc_id, term, s FROM isl QUALIFY row_number() OVER (PARTITION BY doc_id, term, island ORDER BY n) % 2 = 1)
 SELECT doc_id, term, count(*) AS n_hits, CAST(sum(s) AS BIGINT) AS sum_starts FROM found JOIN terms USING (term) GROUP BY ALL""",
 )
 def _(spark, sf):

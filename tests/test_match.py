@@ -83,3 +83,30 @@ def test_joined_hits_are_those_of_a_search_per_term(docs, lexicon):
     assert M.joined_lexicon_hits(docs(*texts), lexicon(*entries).limit(0)).count() == 0
     again = lexicon(*entries).union(lexicon(*entries))
     assert M.joined_lexicon_hits(docs(*texts), again).count() == len(want)
+
+
+def test_hits_of_one_term_do_not_overlap(docs, lexicon):
+    lex = lexicon(("a a", "x", [], "", ""), ("a", "y", [], "", ""))
+    d = docs("a a a", "a A a a", "aa a")
+    for found in (M.joined_lexicon_hits(d, lex), M.joined_lexicon_hits(d, lex, block_chars=70), M.document_lookup(d, lex), M.lexicon_lookup(P.chunk_table(d), lex, max_terms=1)):
+        assert sorted((r.doc_id, r.char_start) for r in found.filter("term = 'a a'").collect()) == [(0, 0), (1, 0), (1, 4)]
+
+
+def test_a_vocabulary_beyond_the_patterns_gives_the_same_hits(docs, lexicon):
+    words = ("he", "The", "the end", "end", "é", "x-y", "c++", "(he)", "of  the", "never", "end of", "the the", "İx", "man", "man-hours")
+    lex = lexicon(*[(w, "biased", [w], "", "") for w in words])
+    d = docs("He said the end, the END of  the x-y and c++ (he) é été.", "the the the end of", "", None, "x(he)x, c++x man-hours MAN", "İİ he man İ x(he)x end")
+    for size in (1, 2, 4, 500):
+        want = {tuple(r[:4]) for r in M.lexicon_hits(d, lex, batch_size=size).collect()}
+        got = [tuple(r[:4]) for r in M.lexicon_hits(d, lex, batch_size=size, max_pattern_terms=3).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 15, size
+        assert {tuple(r[:4]) for r in M.sliced_lexicon_hits(d, lex, slices=3, batch_size=size).collect()} == want
+
+
+def test_sixty_thousand_terms(spark, docs):
+    schema = "ord int, term string, category string, alternatives array<string>, note string, condition string, source string"
+    lex = spark.range(60_000).selectExpr("CAST(id AS INT) AS ord", "concat('term', id, IF(id % 7 = 0, '!', '')) AS term", "'c' AS category", "array('x') AS alternatives", "'' AS note", "'' AS condition", "'s' AS source")
+    d = docs("term5 Term14! term14!x term59999 term60000", "term1term2 term3")
+    want = {(0, "term5"), (0, "term14!"), (0, "term59999"), (1, "term3")}
+    for found in (M.lexicon_hits(d, lex), M.joined_lexicon_hits(d, lex)):
+        assert {(r.doc_id, r.term) for r in found.collect()} == want
