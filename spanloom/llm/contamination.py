@@ -4,8 +4,9 @@ Texts and items are lower-cased (A-Z) and cut into words. Every 13 consecutive w
 window. The automaton is built over windows as sequences of word numbers, so it has one node per word, and each text runs through
 it once, as the sequence of its own word numbers. Hits are word ranges; they are mapped to code points of the original text.
 
-An automaton holds at most ``BLOCK_CHARS`` characters of items, which bounds what a worker keeps in memory. A larger benchmark
-is dealt to several automata by the hash of the item id, and their hits are merged per text; all items are always used.
+An automaton holds about ``BLOCK_CHARS`` characters of items, which bounds what the driver and a worker keep in memory. A larger
+benchmark is dealt out by the hash of the item id and its blocks are read one after another: each is one pass over the texts, whose
+narrow hits are written before the next block is read. The hits of a text are then merged and joined back; all items are always used.
 
 Defined cases: null and empty texts have no words and are not contaminated; items without words are never found; repeated items
 count by their ids; a null item id is an empty string; an empty benchmark leaves every text clean; all columns of the documents
@@ -16,17 +17,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bind, fresh, table
+from ..functions.sizes import fits
+from .common import bind, checkpointed, fresh, table
 
 WINDOW = 13
 BLOCK_CHARS = 1_000_000
+#: Texts with hits that are broadcast; beyond it they meet the documents in a shuffle, with ``SALTS`` copies of each.
+MAX_BROADCAST_TEXTS = 100_000
+SALTS = 16
 #: A document is contaminated when hits are at least one word in this many.
 SHARE = 20
 
@@ -110,26 +116,41 @@ def _merge(ranges):
     return F.aggregate(F.sort_array(ranges), F.array().cast("array<struct<start:int,end:int>>"), grow)
 
 
+def _blockwise(docs: DataFrame, items: DataFrame, text: str, name: str, window: int, blocks: int) -> tuple[DataFrame, Column]:
+    """``docs`` with the hits of all blocks, merged per text, and the column that holds them."""
+    th, kept = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), []
+    for b in range(blocks):
+        mine = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()]
+        hits = docs.select(th, _scanner(mine, window)(F.col(text)).alias("r")).filter(F.size("r.items") > 0)
+        kept.append(checkpointed(hits.groupBy("th").agg(F.first("r").alias("r"))))
+    of_text = reduce(DataFrame.unionByName, kept).groupBy("th").agg(F.collect_list("r").alias("rs"))  # one entry per block at most
+    all_of = lambda f: F.flatten(F.col("rs")[f])
+    merged = checkpointed(of_text.select("th", _merge(all_of("runs")).alias("runs"), _merge(all_of("spans")).alias("spans"), F.sort_array(F.array_distinct(all_of("items"))).alias("items")))
+    key, salt, hit = fresh(docs, "text_hash"), fresh(docs, "text_salt"), fresh(docs, "text_hits")
+    salts = 1 if fits(merged, MAX_BROADCAST_TEXTS) else SALTS
+    side = merged.select(F.col("th").alias(key), F.struct("runs", "spans", "items").alias(hit), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(salt))
+    cells = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumns({key: th, salt: F.pmod(cells, F.lit(salts)).cast("int")})
+    joined = rows.join(F.broadcast(side) if salts == 1 else side, [key, salt], "left")
+    ranges = "array<struct<start:int,end:int>>"
+    found = joined.withColumn(name, F.struct(
+        _scanner([], window)(F.col(text))["n_words"].alias("n_words"), F.coalesce(F.col(hit)["runs"], F.array().cast(ranges)).alias("runs"),
+        F.coalesce(F.col(hit)["spans"], F.array().cast(ranges)).alias("spans"), F.coalesce(F.col(hit)["items"], F.array().cast("array<string>")).alias("items"),
+    ))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], name), F.col(name)
+
+
 def find_benchmark(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, str]:
     """``docs`` with a struct column, and its name: ``n_words, n_hit, runs`` (words), ``spans`` (code points), ``items``."""
     items = bench.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.coalesce(item_text, F.lit("")).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     name = fresh(docs, "benchmark_hits")
-    parts = []
-    for b in range(blocks):
-        mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        parts.append(_scanner([tuple(r) for r in mine.collect()], window)(F.col(text)))
     if blocks == 1:
-        found = docs.withColumn(name, parts[0])
+        found = docs.withColumn(name, _scanner([tuple(r) for r in items.collect()], window)(F.col(text)))
         merged = F.col(name)
     else:
-        found = docs.withColumn(name, F.array(*parts))
-        all_of = lambda f: F.flatten(F.transform(name, lambda p: p[f]))
-        merged = F.struct(
-            F.get(name, F.lit(0))["n_words"].alias("n_words"), _merge(all_of("runs")).alias("runs"), _merge(all_of("spans")).alias("spans"),
-            F.sort_array(F.array_distinct(all_of("items"))).alias("items"),
-        )
+        found, merged = _blockwise(docs, items, text, name, window, blocks)
     hit = bind(merged["runs"], lambda runs: F.aggregate(runs, F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"]))
     return found.withColumn(name, F.struct(merged["n_words"].alias("n_words"), hit.alias("n_hit"), merged["runs"].alias("runs"), merged["spans"].alias("spans"), merged["items"].alias("items"))), name
 

@@ -47,3 +47,22 @@ def test_empty_tables(spark):
     found, name = con.find_benchmark(docs, bench)
     assert found.select(con.is_contaminated(F.col(name))).first()[0] is False
     assert con.find_benchmark(docs.limit(0), bench)[0].count() == 0
+
+
+def test_blocks_are_read_one_by_one_and_joined_back(spark, monkeypatch):
+    """Many blocks give what one automaton gives, with the joins broadcast or shuffled, repeated rows and clashing names."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    bench = [(i, " ".join(rng.choices(words, k=rng.choice([3, 13, 20])))) for i in range(30)] + [(None, "lone item"), (31, None)]
+    texts = [" ".join(rng.choices(words, k=30) + bench[rng.randrange(30)][1].split() + rng.choices(words, k=10)) for _ in range(40)] + ["", None, "lone item", "w1 " * 50_000]
+    rows = [(i % 40, t, "a", 1, "h", "s") for i, t in enumerate(texts * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, benchmark_hits string, th int, text_hash string, text_salt string")
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    want = None
+    for chars, texts_broadcast in ((1_000_000, 100), (500, 100), (500, 0)):
+        monkeypatch.setattr(con, "MAX_BROADCAST_TEXTS", texts_broadcast)
+        found, name = con.find_benchmark(docs, items, block_chars=chars)
+        assert found.columns == [*docs.columns, name]
+        got = sorted((r["doc_id"], r["text"] or "", str(r[name].asDict(recursive=True))) for r in found.collect())
+        want = want or got
+        assert got == want and len(got) == len(rows)
