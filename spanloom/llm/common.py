@@ -66,6 +66,8 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], n: str = "n") -
     The hot keys, a thousand at most, are broadcast; the others meet in a shuffle.
     """
     hot = checkpointed(hot_keys(right, n))
+    if hot.isEmpty():
+        return left.join(right.drop(n), on)
     marks = hot.select(*on, F.lit(True).alias("_hot"))
     met = left.join(F.broadcast(hot.drop(n)), on)
     cold = left.join(F.broadcast(marks), on, "left_anti").join(right.join(F.broadcast(marks), on, "left_anti").drop(n), on)

@@ -105,14 +105,21 @@ def links_of(prints: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``fp, root`` for every fingerprint in a link: the smallest fingerprint of its class."""
-    edges = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(edges.groupBy(F.col("a").alias("fp")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
+    """``fp, root`` for every fingerprint in a link: the smallest fingerprint of its class.
+
+    Every node is its own neighbour too, so one join and one aggregation give the least label around it; a second join takes the label
+    of that label. Tables that small would be broadcast one after another, each through the driver, so the joins are merges.
+    """
+    ends = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = checkpointed(ends.union(ends.select("a", F.col("a").alias("b"))).distinct())
+    labels = edges.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("root"))
+    labels = checkpointed(labels)
     while True:
-        around = edges.join(labels.select(F.col("fp").alias("b"), "root"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("near"))
-        nearer = labels.join(around, "fp").select("fp", "root", F.least("root", "near").alias("next"))
-        jump = labels.select(F.col("fp").alias("next"), F.col("root").alias("far"))
-        moved = checkpointed(nearer.join(jump, "next", "left").select("fp", F.col("root").alias("old"), F.least("next", F.coalesce("far", "next")).alias("root")))
+        around = edges.join(labels.select(F.col("fp").alias("b"), "root").hint("merge"), "b").groupBy(F.col("a").alias("fp")).agg(
+            F.min("root").alias("near"), F.max(F.when(F.col("a") == F.col("b"), F.col("root"))).alias("old")
+        )
+        jump = labels.select(F.col("fp").alias("near"), F.col("root").alias("far")).hint("merge")
+        moved = checkpointed(around.join(jump, "near").select("fp", "old", F.col("far").alias("root")))
         labels = moved.select("fp", "root")
         if moved.filter("old <> root").isEmpty():
             return labels
