@@ -110,7 +110,8 @@ def components(links: DataFrame) -> DataFrame:
     Every node is its own neighbour too, so one join and one aggregation give the least label around it; a second join takes the label
     of that label. Tables that small would be broadcast one after another, each through the driver, so the joins are merges.
     """
-    ends = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = checkpointed(links.select("a", "b"))
+    ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = checkpointed(ends.union(ends.select("a", F.col("a").alias("b"))).distinct())
     labels = edges.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("root"))
     labels = checkpointed(labels)
