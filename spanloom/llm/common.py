@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +16,29 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` to the shared checkpoint folder and read it back."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    The folder is ``spark.checkpoint.dir``. Where that is unset, as in tests, a folder of the warehouse is used.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, ``spark.checkpoint.dir``. Where that is unset, as in tests, a folder of the warehouse is used."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back; for tables that a loop makes anew from themselves.
+
+    A checkpoint keeps the estimated size of its plan, and that of a join is the product of its sides. Over the rounds of a loop the
+    number of digits doubles each time, until estimates alone fill the driver. A table has the size of its files.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fresh(df: DataFrame, name: str) -> str:

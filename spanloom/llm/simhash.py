@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, table
+from .common import checkpointed, table, written
 
 SHINGLE = 3
 SEED = 42
@@ -107,23 +107,23 @@ def links_of(prints: DataFrame, hot: int = HOT) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``fp, root`` for every fingerprint in a link: the smallest fingerprint of its class.
 
-    Every node is its own neighbour too, so one join and one aggregation give the least label around it; a second join takes the label
-    of that label. Tables that small would be broadcast one after another, each through the driver, so the joins are merges.
+    In each round every group of equal labels looks for the least label around any of its members and takes the label which that one
+    takes, so long paths and chains of near copies need few rounds. Every node is its own neighbour too, which gives its own label in
+    the same join. Tables that small would be broadcast one after another, each through the driver, so the joins are merges.
     """
     links = checkpointed(links.select("a", "b"))
     ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = checkpointed(ends.union(ends.select("a", F.col("a").alias("b"))).distinct())
     labels = edges.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("root"))
-    labels = checkpointed(labels)
     while True:
-        around = edges.join(labels.select(F.col("fp").alias("b"), "root").hint("merge"), "b").groupBy(F.col("a").alias("fp")).agg(
+        around = written(edges.join(labels.select(F.col("fp").alias("b"), "root").hint("merge"), "b").groupBy(F.col("a").alias("fp")).agg(
             F.min("root").alias("near"), F.max(F.when(F.col("a") == F.col("b"), F.col("root"))).alias("old")
-        )
-        jump = labels.select(F.col("fp").alias("near"), F.col("root").alias("far")).hint("merge")
-        moved = checkpointed(around.join(jump, "near").select("fp", "old", F.col("far").alias("root")))
-        labels = moved.select("fp", "root")
-        if moved.filter("old <> root").isEmpty():
-            return labels
+        ))
+        if around.filter("near <> old").isEmpty():
+            return around.select("fp", F.col("old").alias("root"))
+        hooks = around.groupBy("old").agg(F.min("near").alias("near"))
+        jumps = hooks.join(hooks.select(F.col("old").alias("near"), F.col("near").alias("root")).hint("merge"), "near").select("old", "root")
+        labels = written(around.select("fp", "old").join(jumps.hint("merge"), "old").select("fp", "root"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

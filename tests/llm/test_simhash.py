@@ -4,6 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from spanloom.llm import simhash
+from spanloom.llm.common import written
 
 WS = " \t\n\x0b\f\r"
 
@@ -88,6 +89,17 @@ def test_chain_of_links_is_followed(spark):
     assert len(roots) == 1
 
 
+def test_long_path_needs_few_rounds_and_its_size_estimate_stays_small(spark, monkeypatch):
+    n, tables = 5003, []
+    monkeypatch.setattr(simhash, "written", lambda df: tables.append(written(df)) or tables[-1])
+    path = spark.range(n - 1).select((F.col("id") * 791 % n).alias("a"), ((F.col("id") + 1) * 791 % n).alias("b"))
+    other = spark.createDataFrame([(n + 5, n + 2), (n + 2, n + 9)], "a long, b long")
+    classes = simhash.components(path.union(other)).groupBy("root").count().collect()
+    assert sorted(map(tuple, classes)) == [(0, n), (n + 2, 3)]
+    assert len(tables) < 30
+    assert tables[-1]._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 20
+
+
 def test_empty_table_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert simhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
