@@ -35,8 +35,17 @@ SENTENCE_MARKS = "[.!?…]"
 SENTENCE_OPENERS = "[A-Z\"'(0-9]"
 
 
-# Dots and spaces around an abbreviation that a look-behind, which needs a bound, can see.
+# Dots and spaces around an abbreviation that a look-behind, which needs a bound, can see. Texts with longer runs take another way.
 _MAX_RUN = 16
+_LONG_RUN = f"[.{WS}]{{{_MAX_RUN}}}"
+# A noncharacter that says "no cut behind this mark".
+_NO_CUT = "\ufdd0"
+
+
+def _abbreviation_marks() -> str:
+    """An abbreviation and the sentence mark behind it, with any number of dots and spaces between."""
+    words = "|".join(f"\\.*{WS}+\\.*".join(T.escape_literal(w) for w in a.split(" ")) for a in ABBREVIATIONS)
+    return f"((?:\\A|{WS})\\.*+(?i:{words})\\.*{WS}*{SENTENCE_MARKS})(?={WS}++(?:{SENTENCE_OPENERS}|\\z))"
 
 
 def _sentence_cut() -> str:
@@ -53,8 +62,16 @@ _SENTENCE_CUT = _sentence_cut()
 
 
 def _mark_sentence_gaps(text: Column) -> Column:
-    """Mark the white space between sentences."""
-    return F.regexp_replace(text, _SENTENCE_CUT, f"$1{MARK}$2{MARK}")
+    """Mark the white space between sentences.
+
+    A look-behind keeps abbreviations together. Where a text has a run of dots or spaces that it cannot see through, the marks
+    behind abbreviations are tagged first, the other ones cut, and the tags removed.
+    """
+    tagged = F.regexp_replace(text, _abbreviation_marks(), f"$1{_NO_CUT}")
+    cut = F.regexp_replace(tagged, f"({SENTENCE_MARKS})({WS}++)(?={SENTENCE_OPENERS}|\\z)", f"$1{MARK}$2{MARK}")
+    return F.when(
+        F.rlike(text, F.lit(_LONG_RUN)) & ~F.contains(text, F.lit(_NO_CUT)), F.replace(cut, F.lit(_NO_CUT), F.lit(""))
+    ).otherwise(F.regexp_replace(text, _SENTENCE_CUT, f"$1{MARK}$2{MARK}"))
 
 
 def sentence_spans(text: Column) -> Column:

@@ -111,3 +111,22 @@ def test_points_and_overlaps_across_buckets(spark):
     pairs = [(r.a, r.s) for r in rows]
     brute = {(i * 41, j * 90) for i in range(80) for j in range(60) if i * 41 < j * 90 + 150 + j and j * 90 < i * 41 + 100}
     assert len(pairs) == len(set(pairs)) and set(pairs) == brute
+
+
+def test_runs_of_dots_and_spaces_of_any_length_belong_to_an_abbreviation(docs):
+    for run in ("." * 30, " " * 40 + ".", "." * 5000, "." * 20 + " " * 20 + "."):
+        assert sentences(docs, f"See vol{run} One of them.") == [f"See vol{run} One of them."]
+    text = "See fig. 3 here. It ends" + "." * 30 + " New one. He met Smith et" + " " * 30 + "al. In May, cf. No more!"
+    assert sentences(docs, text) == ["See fig. 3 here.", "It ends" + "." * 30, "New one.", "He met Smith et" + " " * 30 + "al. In May, cf. No more!"]
+
+
+def test_both_ways_of_cutting_sentences_agree(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    parts = ["See", "vol", "No", "et", "al", "e.g", "Fig.", "end.", "stop!", "(A)", "9", "…", ".", "..", "word", "i.e."]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", "  ", "\n", "."]) for _ in range(40)) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    usual = [r.s for r in df.select(P.sentence_spans(F.col("text")).alias("s")).collect()]
+    monkeypatch.setattr(P, "_LONG_RUN", "(?s).*")
+    assert [r.s for r in df.select(P.sentence_spans(F.col("text")).alias("s")).collect()] == usual
