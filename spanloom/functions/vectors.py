@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import fits
+from .sizes import cut_lineage
 from .text import lit_let
 
 DEFAULT_DIM = 64
 MAX_BROADCAST_QUERIES = 20_000
 BLOCK_ROWS = 4_096
+#: Numbers of one block of scores in a task, and bytes of the queries of one round.
+MAX_CELLS = 8_000_000
+MAX_QUERY_BYTES = 32_000_000
 
 
 def hash_embed(text: Column, dim: int = DEFAULT_DIM) -> Column:
@@ -74,85 +77,117 @@ def _row_sums(products: np.ndarray) -> np.ndarray:
     return total
 
 
-def _best(query_ids, q: np.ndarray, ids, ords: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
-    """Top k of one block for every query.
+class _Best:
+    """The k best groups of every query among the vectors seen so far: at most k rows per query.
 
-    A matrix product selects; whatever could still be in the top k is scored again in a fixed
-    order of summation, so ties are real ties and break by ``ord``.
+    A matrix product selects; whatever could still be among the best is scored again in a fixed order of summation, so ties are
+    real ties and break by ``ord``. Vectors below a query's k-th score so far are not looked at again.
     """
-    qn, vn = _norms(q), _norms(v)
-    rough = (q @ v.T) / (qn[:, None] * vn[None, :])
-    out = []
-    for i in range(len(query_ids)):
-        row = rough[i]
-        if len(row) > k:
-            limit = np.partition(row, len(row) - k)[len(row) - k] - 1e-9
-            keep = np.flatnonzero(row >= limit)
-        else:
-            keep = np.arange(len(row))
-        exact = _row_sums(v[keep] * q[i]) / (qn[i] * vn[keep])
-        order = np.lexsort((ords[keep], -exact))[:k]
-        out.append(
-            pd.DataFrame({"query_id": query_ids[i], "id": [ids[j] for j in keep[order]], "ord": ords[keep[order]], "score": exact[order]})
-        )
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "ord": [], "score": []})
-
-
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+
+    SLACK = 1e-9
+
+    def __init__(self, queries: np.ndarray, k: int, grouped: bool):
+        self.q, self.norms, self.k, self.grouped = queries, _norms(queries), k, grouped
+        self.floor = np.full(len(queries), -np.inf)
+        self.kept: pd.DataFrame | None = None
+
+    def add(self, part: pd.DataFrame) -> None:
+        v, ords = _matrix(part["embedding"]), part["ord"].to_numpy()
+        lengths = _norms(v)
+        groups = pd.factorize(part["grp"])[0] if self.grouped else np.arange(len(part))
+        rough = (self.q @ v.T) / (self.norms[:, None] * lengths[None, :])
+        which, rows, scores = [], [], []
+        for i in np.flatnonzero(rough.max(axis=1) >= self.floor - self.SLACK):
+            near = self._near(rough[i], self.floor[i], groups)
+            exact = _row_sums(v[near] * self.q[i]) / (self.norms[i] * lengths[near])
+            order = np.lexsort((ords[near], -exact))
+            first = np.sort(np.unique(groups[near[order]], return_index=True)[1])[: self.k]
+            which.append(np.full(len(first), i))
+            rows.append(near[order[first]])
+            scores.append(exact[order[first]])
+        if rows:
+            found = part.drop(columns="embedding").iloc[np.concatenate(rows)].assign(query=np.concatenate(which), score=np.concatenate(scores))
+            self._merge(found)
+
+    def _near(self, row: np.ndarray, floor: float, groups: np.ndarray) -> np.ndarray:
+        """Places that may hold one of the k best groups: as many of the best as have k groups, and their ties."""
+        near = np.flatnonzero(row >= floor - self.SLACK)
+        n = self.k
+        while n < len(near):
+            limit = np.partition(row[near], len(near) - n)[len(near) - n]
+            if len(np.unique(groups[near[row[near] >= limit]])) >= self.k:
+                return near[row[near] >= limit - self.SLACK]
+            n *= 2
+        return near
+
+    def _merge(self, found: pd.DataFrame) -> None:
+        both = found if self.kept is None else pd.concat([self.kept, found])
+        both = both.sort_values(["query", "score", "ord"], ascending=[True, False, True])
+        if self.grouped:
+            both = both.drop_duplicates(["query", "grp"])
+        self.kept = both.groupby("query", sort=False).head(self.k)
+        per_query = self.kept.groupby("query")["score"].agg(["size", "min"])
+        full = per_query[per_query["size"] == self.k]
+        self.floor[full.index.to_numpy()] = full["min"].to_numpy()
+
+
+def top_k(
+    queries: DataFrame, vectors: DataFrame, k: int, *, group: str | None = None, max_broadcast: int = MAX_BROADCAST_QUERIES,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
     """Exact cosine top-k: (query_id, id, ord, score, rank).
 
-    ``queries`` has query_id and embedding; ``vectors`` has id, ord (unique, insertion order)
-    and embedding. Scores are block matrix products inside tasks; a task emits at most k rows
-    per query, never its pairs. Few queries travel to every vector partition; more of them are
-    cut into blocks that meet vector blocks by key.
+    ``queries`` has query_id and embedding; ``vectors`` has id, ord (unique, insertion order) and embedding. With ``group``, a
+    string column of ``vectors`` without nulls, these are the k best groups, each by its best vector. Scores are block matrix
+    products inside tasks; a task emits at most k rows per query, never its pairs. A query set of checked size travels to every
+    vector partition. More queries than ``max_broadcast`` go in rounds of about ``block_rows``: a round reads every vector once,
+    where it lies, and its result is written before the next one.
     """
     id_type = vectors.schema["id"].dataType.simpleString()
     q_type = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {q_type}, id {id_type}, ord bigint, score double"
-    v = vectors.select("id", F.col("ord").cast("bigint").alias("ord"), F.col("embedding").cast("array<double>").alias("embedding"))
+    schema = f"query_id {q_type}, id {id_type}, ord bigint, grp string, score double"
+    grp = F.lit(None).cast("string") if group is None else F.col(group)
+    v = vectors.select(
+        "id", F.col("ord").cast("bigint").alias("ord"), F.col("embedding").cast("array<double>").alias("embedding"), grp.alias("grp")
+    )
     q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    part = _scan_with_queries(q, v, k, schema) if fits(q, max_broadcast) else _block_join(q, v, k, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
-    return part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def _scan_with_queries(q: DataFrame, v: DataFrame, k: int, schema: str) -> DataFrame:
+    n, numbers = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
+    rounds = max(1, -(-n // block_rows) if n > max_broadcast else 1, -(-numbers * 8 // MAX_QUERY_BYTES))
+    out = None
+    for r in range(rounds):
+        own = q if rounds == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)
+        part, shared = _scan_with_queries(own, v, k, group is not None, schema)
+        part = _ranked(part, k, group is not None)
+        if rounds > 1:
+            part = cut_lineage(part)
+            shared.unpersist()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _ranked(part: DataFrame, k: int, grouped: bool) -> DataFrame:
+    best = [F.desc("score"), F.asc("ord")]
+    if grouped:
+        own = Window.partitionBy("query_id", "grp").orderBy(*best)
+        part = part.withColumn("__first", F.row_number().over(own)).filter("__first = 1").drop("__first")
+    order = Window.partitionBy("query_id").orderBy(*best)
+    return part.drop("grp").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _scan_with_queries(q: DataFrame, v: DataFrame, k: int, grouped: bool, schema: str):
     rows = q.collect()  # size checked by the caller
-    if not rows:
-        return q.sparkSession.createDataFrame([], schema)
     ids = [r["query_id"] for r in rows]
-    shared = q.sparkSession.sparkContext.broadcast((ids, _matrix([r["embedding"] for r in rows])))
+    shared = q.sparkSession.sparkContext.broadcast((ids, _matrix([r["embedding"] for r in rows]) if rows else None))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, matrix = shared.value
-        best = None
+        if not query_ids:
+            return
+        best, step = _Best(matrix, k, grouped), max(1, min(BLOCK_ROWS, MAX_CELLS // len(query_ids)))
         for b in batches:
-            for at in range(0, len(b), BLOCK_ROWS):
-                s = b.iloc[at : at + BLOCK_ROWS]
-                found = _best(query_ids, matrix, s["id"].tolist(), s["ord"].to_numpy(), _matrix(s["embedding"]), k)
-                # a task keeps k rows per query, however many slices it reads
-                both = found if best is None else pd.concat([best, found])
-                best = both.sort_values(["score", "ord"], ascending=[False, True]).groupby("query_id", sort=False).head(k)
-        if best is not None:
-            yield best
-
-    return v.mapInPandas(score, schema)
-
-
-def _block_join(q: DataFrame, v: DataFrame, k: int, schema: str) -> DataFrame:
-    nq = max(1, -(-q.count() // BLOCK_ROWS))
-    nv = max(1, -(-v.count() // BLOCK_ROWS))
-    qb = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
-    vb = v.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint")))
-    )
-
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "ord": [], "score": []})
-        return _best(
-            left["query_id"].tolist(), _matrix(left["embedding"]), right["id"].tolist(), right["ord"].to_numpy(),
-            _matrix(right["embedding"]), k,
-        )
+            for at in range(0, len(b), step):
+                best.add(b.iloc[at : at + step])
+        if best.kept is not None:
+            yield best.kept.assign(query_id=[query_ids[i] for i in best.kept["query"]])[["query_id", "id", "ord", "grp", "score"]]
 
-    return qb.groupBy("qb", "vb").cogroup(vb.groupBy("qb", "vb")).applyInPandas(block, schema)
+    return v.mapInPandas(score, schema), shared

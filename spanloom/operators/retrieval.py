@@ -23,29 +23,15 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, *, max_broad
 def topk_by_doc(queries: DataFrame, vectors: DataFrame, k: int = 3, *, max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """The k best documents per query, each by its best vector (its own id where it has no document).
 
-    Best vectors are fetched until every query has k documents or no vector is left, twice as many each time; so a document
-    with very many of the best vectors hides no other.
-
-    ``vectors`` also has ``doc_key`` (nullable) and may carry ``payload`` columns.
+    One search: tasks keep k documents per query, so a document with very many of the best vectors hides no other and nothing
+    is fetched twice. ``vectors`` also has ``doc_key`` (nullable) and may carry ``payload`` columns.
     """
     extra = [c for c in vectors.columns if c not in ("id", "ord", "embedding")]
-    fetch, doc_of = k * OVER_FETCH, F.coalesce(F.nullif(F.col("doc_key").cast("string"), F.lit("")), F.col("id").cast("string"))
-    keys = vectors.select("ord", doc_of.alias("__doc"))
-    while True:
-        hits = cut_lineage(top_k(queries, vectors, fetch, max_broadcast=max_broadcast))
-        short = hits.join(keys, "ord").groupBy("query_id").agg(F.countDistinct("__doc").alias("d"), F.count(F.lit(1)).alias("n"))
-        if short.filter((F.col("d") < k) & (F.col("n") >= fetch)).isEmpty():
-            break
-        fetch *= 2
-    # Only fetched ids pick up their attributes: at most 5k rows per query, so with few queries
-    # the hits travel and the vector table is not shuffled.
+    doc_of = F.coalesce(F.nullif(F.col("doc_key").cast("string"), F.lit("")), F.col("id").cast("string"))
+    hits = top_k(queries, vectors.withColumn("__doc", doc_of), k, group="__doc", max_broadcast=max_broadcast)
+    # Only the best pick up their attributes: k rows per query, so with few queries they travel and the vector table is not shuffled.
     few = fits(queries, max_broadcast)
-    hits = vectors.select("ord", *extra).join(F.broadcast(hits) if few else hits, "ord")
-    key = F.coalesce(F.nullif(F.col("doc_key").cast("string"), F.lit("")), F.col("id").cast("string"))
-    per_doc = Window.partitionBy("query_id", key).orderBy("rank")
-    kept = hits.withColumn("__rn", F.row_number().over(per_doc)).filter("__rn = 1").drop("__rn")
-    final = Window.partitionBy("query_id").orderBy("rank")
-    return kept.withColumn("__r", F.row_number().over(final)).filter(F.col("__r") <= k).drop("rank").withColumnRenamed("__r", "rank")
+    return vectors.select("ord", *extra).join(F.broadcast(hits) if few else hits, "ord")
 
 
 def embed_queries(queries: DataFrame, text: str = "query", *, dim: int = 64) -> DataFrame:
