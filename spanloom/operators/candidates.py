@@ -227,15 +227,30 @@ def expanded_occurrences(text: Column, quote: Column, *, word_boundary: bool = F
 # ---- the audit of a document -----------------------------------------------------------------
 
 
+def span_holding(spans: Column, at: Column) -> Column:
+    """The one of sorted, disjoint ``spans`` that holds a position, or null. Found by bisection, so a document costs its candidates
+    times the logarithm of its spans."""
+
+    def halve(s: Column, _: Column) -> Column:
+        lo, hi = s["lo"], s["hi"]
+        return lit_let(
+            F.floor((lo + hi) / 2).cast("int"),
+            lambda mid: F.when(lo >= hi, F.struct(lo.alias("lo"), hi.alias("hi")))
+            .when(F.get(spans, mid)["char_start"] <= at, F.struct((mid + 1).alias("lo"), hi.alias("hi")))
+            .otherwise(F.struct(lo.alias("lo"), mid.alias("hi"))),
+        )
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1.0)).cast("int"))
+    last = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), halve, lambda s: F.get(spans, s["lo"] - 1))
+    return lit_let(last, lambda s: F.when(at < s["char_end"], s))
+
+
 def _with_context(text: Column, sentences: Column, blocks: Column, candidates: Column) -> Column:
     """Attach sentence and paragraph to each verified candidate."""
 
-    def holds(s: Column, at: Column) -> Column:
-        return (s["char_start"] <= at) & (at < s["char_end"])
-
     def one(c: Column) -> Column:
-        sentence = F.get(F.filter(sentences, lambda s: holds(s, c["char_start"])), F.lit(0))
-        block = F.get(F.filter(blocks, lambda b: holds(b, c["char_start"])), F.lit(0))
+        sentence = span_holding(sentences, c["char_start"])
+        block = span_holding(blocks, c["char_start"])
         return lit_let(
             sentence,
             lambda s: F.struct(
