@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import lit_let
-from .wordtrie import literals_regex
 
 # A Unicode noncharacter marks match boundaries; a text that holds one is matched on a
 # copy of equal length, so offsets stay exact.
@@ -138,30 +137,6 @@ def overlap_chars(a_start: Column, a_end: Column, b_start: Column, b_end: Column
     return F.greatest(F.lit(0), F.least(a_end, b_end) - F.greatest(a_start, b_start))
 
 
-def passages_in(text: Column, passages: dict, prefix: int = 24) -> Column:
-    """First place of each of a bounded set of passages: array of (key, char_start, char_end).
-
-    Texts that hold not even the beginning of a passage, nearly all of them, are settled by
-    one pass with a shared pattern.
-    """
-    starts = literals_regex({p[:prefix] for p in passages.values()})
-    each = F.array(*[
-        F.struct(F.lit(k).alias("key"), (F.locate(p, text) - 1).alias("char_start"), F.lit(len(p)).alias("n"))
-        for k, p in passages.items()
-    ])
-    found = F.transform(
-        F.filter(each, lambda s: s["char_start"] >= 0),
-        lambda s: F.struct(
-            s["key"].alias("key"), s["char_start"].alias("char_start"), (s["char_start"] + s["n"]).alias("char_end")
-        ),
-    )
-    nothing = F.filter(
-        F.array(F.struct(F.lit(next(iter(passages))).alias("key"), F.lit(0).alias("char_start"), F.lit(0).alias("char_end"))),
-        lambda s: s["char_end"] > 0,
-    )
-    return F.when(F.rlike(text, F.lit(starts)), found).otherwise(nothing)
-
-
 def _bucket(col: Column, width: int) -> Column:
     return F.floor(col / F.lit(width)).cast("int")
 

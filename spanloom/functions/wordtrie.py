@@ -26,14 +26,6 @@ def vocabulary_regex(terms: Iterable[str]) -> str:
     return "(?:" + "|".join(f"{b}(?{flags}:{_render(t)})" for b, t in branches.items()) + ")"
 
 
-def literals_regex(texts: Iterable[str]) -> str:
-    """Regex for any of the given texts, exactly as written."""
-    root: dict = {}
-    for text in texts:
-        _insert(root, text, "")
-    return _render(root)
-
-
 def _insert(node: dict, term: str, end: str) -> None:
     for ch in term:
         node = node.setdefault(ch, {})

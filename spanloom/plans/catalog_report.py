@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.sizes import cut_lineage
-from ..functions.spans import overlap_chars, passages_in
+from ..functions.spans import overlap_chars
 from ..operators import align as A
 from ..operators import candidates as C
 from ..operators import consolidate as K
@@ -14,10 +14,11 @@ from ..operators import evaluate as E
 from ..operators import investigate as I
 from ..operators import parse as P
 from ..operators import report as R
+from ..operators.passages import place_passages
 from . import oracle as O
 from .audit import run_audit
 from .catalog_tables import _ladder_sql, hash_sql, ladder_corpus
-from .catalog_text import _CHUNK_SQL, _CLASSIFY_SQL, audited, documents, guarded, hits, passages
+from .catalog_text import _CHUNK_SQL, _CLASSIFY_SQL, audited, documents, guarded, hits
 from .inputs import POLICY, RULES, WINDOW_TOKENS, evidence_vectors, lexicon, raw_documents, table
 from .registry import query
 
@@ -475,12 +476,12 @@ _SPAN = O.with_(O.DOCS, O.hits(), _GOLD_SQL)
 
 def gold(spark, sf):
     docs = guarded(spark, sf)
-    texts = {k: p.replace("\n", "\n\n") for k, p in passages(spark, sf).items()}
+    items = table(spark, sf, "benchmark").select("item_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     m = F.col("gold_idx") % 3
     labels = F.when(m == 0, F.array(F.lit("Correct"))).when(m == 1, F.array(F.lit("Biased"), F.lit("outdated"))).otherwise(
         F.array(F.lit("Potentially Offensive"), F.lit("correct"))
     )
-    found = docs.select("doc_id", F.inline(passages_in(F.col("text"), texts))).withColumnRenamed("key", "gold_idx")
+    found = place_passages(docs, items).withColumnRenamed("item_id", "gold_idx")
     return found.select("doc_id", "gold_idx", "char_start", "char_end", labels.alias("labels"))
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.spans import passages_in
 from ..operators import candidates as C
 from ..operators import match as M
 from ..operators import parse as P
+from ..operators.passages import place_passages
 from . import oracle as O
 from .inputs import MAX_WINDOWS, RULES, WINDOW_TOKENS, documents, lexicon, raw_documents, table
 from .registry import query
@@ -457,20 +457,8 @@ def _(spark, sf):
 
 
 def benchmark_spans(spark, sf):
-    """First place of each benchmark passage in each document, found by one shared pattern.
-
-    The passages are a bounded table; a document only pays for the passages it holds.
-    """
-    found = passages_in(F.col("text"), passages(spark, sf))
-    return raw_documents(spark, sf).select("doc_id", F.inline(found)).withColumnRenamed("key", "item_id")
-
-
-def passages(spark, sf, limit=20_000):
-    """The benchmark passages as driver values, under a size check."""
-    rows = table(spark, sf, "benchmark").select("item_id", "text").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} passages; run them in groups")
-    return {r["item_id"]: r["text"] for r in rows}
+    """First place of each benchmark passage in each document."""
+    return place_passages(raw_documents(spark, sf), table(spark, sf, "benchmark"))
 
 
 @query(
@@ -480,18 +468,10 @@ n AS (SELECT doc_id, text, regexp_replace(text, '{O.WS}+', ' ', 'g') AS norm FRO
 SELECT d.doc_id, q.item_id, length(q.norm) AS norm_chars FROM n d JOIN q ON strpos(d.norm, q.norm) > 0""",
 )
 def _(spark, sf):
-    items = table(spark, sf, "benchmark").select("item_id", F.regexp_replace(T.strip(F.col("text")), T.WS + "+", "  ").alias("quote"))
-    rows = items.limit(20_001).collect()
-    if len(rows) > 20_000:
-        raise ValueError("too many passages for one pattern")
-    found = F.filter(
-        F.array(*[
-            F.struct(F.lit(r["item_id"]).alias("item_id"), C.find_quote(F.col("text"), F.lit(r["quote"]), F.lit(0)).alias("span")) for r in rows
-        ]),
-        lambda s: s["span"].isNotNull(),
-    )
-    spans = raw_documents(spark, sf).select("doc_id", "text", F.inline(found))
-    cut = F.substring(F.col("text"), F.col("span.char_start") + 1, F.col("span.char_end") - F.col("span.char_start"))
+    items = table(spark, sf, "benchmark").select("item_id", F.regexp_replace(T.strip(F.col("text")), T.WS + "+", "  ").alias("text"))
+    docs = raw_documents(spark, sf).select("doc_id", "text")
+    spans = place_passages(docs, items, loose=True).join(docs, "doc_id")
+    cut = F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
     return spans.select("doc_id", "item_id", F.length(F.regexp_replace(cut, T.WS + "+", " ")).alias("norm_chars"))
 
 
