@@ -58,6 +58,16 @@ def _hits(terms: tuple[str, ...], batch_size: int) -> Column:
     return hit_array(F.col("text"), list(terms), batch_size)
 
 
+def hits_column(terms: list[str], batch_size: int = DEFAULT_BATCH) -> Column:
+    """Hits in the column ``text`` as one narrow array, for passes that compute more of the same text; see :func:`hits_of_column`."""
+    return F.transform(_hits(tuple(terms), batch_size), lambda h: F.struct(h["char_start"], h["char_end"], F.lower(h["text"]).alias("term")))
+
+
+def hits_of_column(rows: DataFrame, lexicon: DataFrame, name: str = "hits") -> DataFrame:
+    """The table of :func:`lexicon_hits` from the arrays of :func:`hits_column`."""
+    return _with_entries(rows.select("doc_id", F.inline(name)), lexicon)
+
+
 def raw_hits(documents: DataFrame, terms: list[str], batch_size: int = DEFAULT_BATCH) -> DataFrame:
     """(doc_id, char_start, char_end, term); stateless per document, so it also streams."""
     hits = documents.select("doc_id", F.explode(_hits(tuple(terms), batch_size)).alias("h"))

@@ -7,13 +7,14 @@ import re
 
 from pyspark.sql import functions as F
 
+from ..functions.sizes import cut_lineage
 from ..operators import candidates as C
 from ..operators import match as M
 from ..operators import turns as U
 from . import oracle as O
 from .audit import ask_model
 from .catalog_tables import _ladder_sql, ladder_corpus
-from .catalog_text import _CONTEXT_SQL, audited, hits
+from .catalog_text import _CONTEXT_SQL, read_once
 from .inputs import RULES, WINDOW_TOKENS, documents, evidence_vectors, lexicon
 from .registry import query
 
@@ -56,7 +57,7 @@ def _asked(spark, sf):
 
 
 def _audited(spark, sf, parsed):
-    return C.audit_replies(documents(spark, sf), parsed, window_tokens=WINDOW_TOKENS)
+    return cut_lineage(C.audit_replies(documents(spark, sf), parsed, window_tokens=WINDOW_TOKENS, expand=False))
 
 
 @query(
@@ -142,7 +143,8 @@ def _investigator(prompts: list[str]) -> list[str]:
 
 
 def _turns(spark, sf, **options):
-    context = C.candidate_context(C.candidates_of(audited(spark, sf)), hits(spark, sf))
+    read = read_once(spark, sf)
+    context = C.candidate_context(C.candidates_of(read.audited), read.hits)
     return U.investigate_turns(context, evidence_vectors(spark, sf), _investigator, live=ladder_corpus(spark, sf), **options)
 
 

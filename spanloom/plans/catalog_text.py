@@ -10,6 +10,7 @@ from ..operators import match as M
 from ..operators import parse as P
 from ..operators.passages import place_passages
 from . import oracle as O
+from .audit import text_pass
 from .inputs import MAX_WINDOWS, RULES, WINDOW_TOKENS, documents, lexicon, raw_documents, table
 from .registry import query
 
@@ -28,6 +29,11 @@ def hits(spark, sf):
     return M.lexicon_hits(guarded(spark, sf), lexicon(spark))
 
 
+def read_once(spark, sf, rules=RULES, **options):
+    """Audited rows, windows and hits of all documents from one pass over the texts."""
+    return text_pass(documents(spark, sf), lexicon(spark), rules, window_tokens=WINDOW_TOKENS, **options)
+
+
 def audited(spark, sf):
     return C.audit_documents(documents(spark, sf), RULES, window_tokens=WINDOW_TOKENS)
 
@@ -170,12 +176,9 @@ def _(spark, sf):
     + """SELECT 'block' AS kind, count(*) AS n, 0 AS violations FROM blocks UNION ALL SELECT 'sentence', count(*), 0 FROM sents""",
 )
 def _(spark, sf):
-    docs = guarded(spark, sf)
-    totals = P.block_table(docs).agg(F.lit("block").alias("kind"), F.count(F.lit(1)).alias("n")).unionByName(
-        P.sentence_table(docs).agg(F.lit("sentence").alias("kind"), F.count(F.lit(1)).alias("n"))
-    )
-    bad = P.roundtrip_violations(docs).groupBy("kind").agg(F.count(F.lit(1)).alias("violations"))
-    return totals.join(bad, "kind", "left").select("kind", "n", F.coalesce("violations", F.lit(0)).cast("int").alias("violations"))
+    kinds = spark.createDataFrame([("block",), ("sentence",)], "kind string")
+    counts = P.roundtrip_counts(guarded(spark, sf))
+    return kinds.join(counts, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("violations", F.lit(0)).cast("int").alias("violations"))
 
 
 _CHUNK_SQL = f"""
@@ -305,12 +308,14 @@ _WIN = (O.DOCS, O.blocks(), O.SENTENCES, O.windows(), O.hits(), O.HINTS)
 
 @query("hits_in_window", O.with_(*_WIN) + "SELECT doc_id, window_idx, term, char_start, char_end FROM hiw")
 def _(spark, sf):
-    return M.hits_in_window(hits(spark, sf), windows_of(spark, sf)).select("doc_id", "window_idx", "term", "char_start", "char_end")
+    read = read_once(spark, sf, None)
+    return M.hits_in_window(read.hits, read.windows).select("doc_id", "window_idx", "term", "char_start", "char_end")
 
 
 @query("window_hints", O.with_(*_WIN) + "SELECT doc_id, window_idx, term, CAST(rank AS INTEGER) AS rank, doc_count, hit_count FROM hints")
 def _(spark, sf):
-    return M.window_hints(hits(spark, sf), windows_of(spark, sf)).select(
+    read = read_once(spark, sf, None)
+    return M.window_hints(read.hits, read.windows).select(
         "doc_id", "window_idx", "term", "rank", "doc_count", "hit_count"
     )
 
@@ -321,7 +326,8 @@ def _(spark, sf):
     + """SELECT doc_id, window_idx, term, category, hit_count, array_to_string(samples, ',') AS sample_offsets, array_to_string(alternatives, ',') AS alternatives, condition FROM hs""",
 )
 def _(spark, sf):
-    return M.hint_samples(hits(spark, sf), windows_of(spark, sf)).select(
+    read = read_once(spark, sf, None)
+    return M.hint_samples(read.hits, read.windows).select(
         "doc_id", "window_idx", "term", "category", "hit_count", pairs(F.col("sample_offsets"), "start", "end").alias("sample_offsets"),
         F.array_join("alternatives", ",").alias("alternatives"), "condition",
     )
@@ -351,7 +357,8 @@ def _verdicts(hints):
   ON v.doc_id = h.doc_id AND v.window_idx = h.window_idx AND v.term = h.term""",
 )
 def _(spark, sf):
-    hints = M.window_hints(hits(spark, sf), windows_of(spark, sf))
+    read = read_once(spark, sf, None)
+    hints = M.window_hints(read.hits, read.windows)
     return M.hint_adjudication(hints, _verdicts(hints)).select("doc_id", "window_idx", "term", "verdict", "filled")
 
 
@@ -367,8 +374,8 @@ _LINE_SQL = """rank || '. ' || term || ' [' || category || '] x' || hit_count ||
   FROM windows w LEFT JOIN hl ON hl.doc_id = w.doc_id AND hl.window_idx = w.window_idx""",
 )
 def _(spark, sf):
-    windows = windows_of(spark, sf)
-    return M.audit_prompts(windows, M.window_hints(hits(spark, sf), windows))
+    read = read_once(spark, sf, None, window_texts=True)
+    return M.audit_prompts(read.windows, M.window_hints(read.hits, read.windows))
 
 
 # ---- candidates -------------------------------------------------------------------------------
@@ -513,16 +520,15 @@ _STATS_SQL = """st AS (SELECT c.doc_id, c.n_windows AS windows, coalesce(h.n, 0)
 
 
 def _stats(spark, sf):
-    a = audited(spark, sf)
-    windows = windows_of(spark, sf).drop("text")
-    hints = M.window_hints(hits(spark, sf), windows)
+    read = read_once(spark, sf)
+    hints = M.window_hints(read.hits, read.windows)
     n = hints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hints"))
-    return a, windows, hints, C.audit_stats(a, C.candidates_of(a), n)
+    return read, hints, C.audit_stats(read.audited, C.candidates_of(read.audited), n)
 
 
 @query("audit_stats", O.with_(*O.AUDIT, O.hits(), O.HINTS, _STATS_SQL) + "SELECT * FROM st")
 def _(spark, sf):
-    return _stats(spark, sf)[3]
+    return _stats(spark, sf)[2]
 
 
 @query(
@@ -535,10 +541,8 @@ UNION ALL SELECT doc_id, windows, 'audit_summary', '{"windows":' || windows || '
   || ',"candidates":' || candidates || ',"windows_parse_failed":' || windows_parse_failed || '}' FROM st""",
 )
 def _(spark, sf):
-    a, windows, hints, stats = _stats(spark, sf)
-    parsed = P.parse_documents(guarded(spark, sf), WINDOW_TOKENS, sentences=False)
-    raw = parsed.select("doc_id", F.inline(C.rule_detect_array(F.col("windows"), RULES))).select("doc_id", "window_idx", "pos")
-    return C.audit_trace(windows, hints, raw, stats).select("doc_id", "seq", "node", "detail")
+    read, hints, stats = _stats(spark, sf)
+    return C.audit_trace(read.windows, hints, read.detected, stats).select("doc_id", "seq", "node", "detail")
 
 
 # ---- context --------------------------------------------------------------------------------------
@@ -568,7 +572,8 @@ def _(spark, sf):
     O.with_(*O.AUDIT, O.hits(), _CONTEXT_SQL) + "SELECT doc_id, 'cand' || lpad(cand_idx::VARCHAR, 4, '0') AS cand_id, alternatives FROM alts",
 )
 def _(spark, sf):
-    return C.candidate_alternatives(C.candidates_of(audited(spark, sf)), hits(spark, sf)).select(
+    read = read_once(spark, sf)
+    return C.candidate_alternatives(C.candidates_of(read.audited), read.hits).select(
         "doc_id", "cand_id", F.array_join("alternatives", ",").alias("alternatives")
     )
 
@@ -580,7 +585,8 @@ def _(spark, sf):
   CAST(c.n_occ AS INTEGER) AS occurrences_count FROM cp c LEFT JOIN alts a ON a.doc_id = c.doc_id AND a.cand_idx = c.cand_idx""",
 )
 def _(spark, sf):
-    return C.candidate_context(C.candidates_of(audited(spark, sf)), hits(spark, sf)).withColumn(
+    read = read_once(spark, sf)
+    return C.candidate_context(C.candidates_of(read.audited), read.hits).withColumn(
         "alternatives", F.array_join("alternatives", ",")
     )
 
