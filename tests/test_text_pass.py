@@ -49,3 +49,13 @@ def test_english_by_runs_and_by_letters(spark):
     said = ["a" * 5 + "éééé", "aaaa" + "ééééé", "a b c é é é", "a b é é é", "éé aa", "ééé aa", "K é", "12", ""]
     got = spark.createDataFrame([(s,) for s in said], "t string").select(T.is_english(F.col("t"))).collect()
     assert [r[0] for r in got] == [True, False, True, False, True, False, True, False, False]
+
+
+def test_texts_of_a_search_are_not_dealt_out_by_request(spark):
+    from spanloom.operators.retrieval import search_ladder
+
+    corpus = spark.createDataFrame([(i, f"t{i}", "a word here", "T", "2020") for i in range(9)], "doc_id long, title string, description string, peerreviewed string, year string")
+    out = search_ladder([{"request_id": 1, "phrases": ["word"], "any_of": [], "min_year": None}], corpus)
+    assert [r.doc_id for r in out.orderBy("rank").collect()] == [0, 1, 2]
+    joins = [line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in line and "[request_id" in line]
+    assert joins and all("BroadcastHashJoin" in j for j in joins)
