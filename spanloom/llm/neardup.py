@@ -4,7 +4,8 @@ Candidates come from the SimHash chains of :mod:`.simhash` and, for what these c
 documents at a similarity of 0.8 differ in 9.7 of 64 bits on average, with a deviation of 2.9. A limit of 14 bits would be needed, for
 which the equal part of a chain is four bits long and joins nearly everything. So SimHash finds the close copies (two bits), and
 documents that agree in a whole segment of about seven shingles are candidates as well: each segment survives with probability 0.8 per
-shingle, so a text of 100 words loses all of its segments once in some thousand pairs. Every class is then verified exactly on the
+shingle, so a text of 100 words loses all of its segments once in some thousand pairs. Sets in segments that very many sets share
+are compared by prefixes of their rarest shingles, which leave out no similar pair among them. Every class is then verified exactly on the
 shingles (:func:`.jaccard.verified_links`), so nothing below the limit is tied.
 
 Defined cases: a text with fewer than five words has one shingle, the whole sequence; texts without words are one class; null ids come
@@ -13,7 +14,11 @@ last; a repeated row stays once; an empty table gives no rows; further columns o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sizes import fits
@@ -35,18 +40,53 @@ class Segments(jaccard.Levels):
         return min(super().segments(level), max(FEW_SEGMENTS, self.starts[level] // SEGMENT_TOKENS))
 
 
-def segment_ties(entries: DataFrame, hot_key: int = jaccard.HOT_KEY) -> DataFrame:
-    """``a, b``: sets tied to the smallest one of a common segment.
+def prefix_ties(tokens: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
+    """``a, b``: sets tied to the smallest one of a common token of their prefixes; ``tokens`` has ``sid, own, key``, with the set size in ``own``.
+
+    In one order of all tokens, the rare ones first, two sets with a similarity of at least ``percent`` hundredths have a token in common
+    among the first ``own - ceil(percent * own / 100) + 1`` of each. So no such pair is left out, and a passage that many sets share
+    ties only those that have little else.
+    """
+    frequency = checkpointed(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n"))).withColumn("sets", F.col("n"))
+    order = Window.partitionBy("sid").orderBy("sets", "key")
+    ranked = split_join(tokens, frequency, ["key"]).withColumn("rank", F.row_number().over(order))
+    entries = checkpointed(ranked.filter(F.col("rank") <= F.floor((100 - percent) * F.col("own") / 100) + 1).select("sid", "key"))
+    return jaccard.ties_of(entries, jaccard.common_keys(entries))
+
+
+def tokens_of(docs: DataFrame, members: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+    """``sid, own, key``: a row for every token of the sets in ``members`` (``sid, th, least_id``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = jaccard._Hashes()
+        for batch in batches:
+            for x, sid in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
+                tokens = jaccard.token_set(x.as_py() or b"", known, size).view(np.int64)
+                n = len(tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, sid, np.int64)), pa.array(np.full(n, n, np.int64)), pa.array(tokens)], ["sid", "own", "key"])
+
+    return jaccard.texts_of(docs, members, doc_id, text).select("text", "sid").mapInArrow(run, "sid long, own long, key long")
+
+
+def segment_ties(
+    docs: DataFrame, prints: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = MIN_PERCENT, hot_key: int = jaccard.HOT_KEY
+) -> DataFrame:
+    """``a, b``: ties that join every two similar sets with a common segment.
 
-    Segments of many sets are often filled by one passage that documents share without being alike. They tie those sets alone that have
-    most of their segments in common with many, as members of a large group of copies do.
+    A segment of up to ``hot_key`` sets ties them to the smallest one. Segments of more sets are often filled by one passage that
+    documents share without being alike; the sets that have such a segment are tied by the prefixes of their tokens instead.
     """
+    filled = prints.filter("n > 0")
+    entries = filled.select("sid", F.explode("keys").alias("key"))
     keys = jaccard.common_keys(entries)
-    cold = jaccard.ties_of(entries.select("sid", "key"), keys.filter(F.col("n") <= hot_key))
-    held = checkpointed(split_join(entries, keys.filter(F.col("n") > hot_key).select("key", "n"), ["key"]).select("sid", "own", "key").distinct())
-    copies = held.groupBy("sid", "own").agg(F.count(F.lit(1)).alias("hot")).filter(2 * F.col("hot") > F.col("own")).select("sid")
-    among = held.join(copies, "sid", "left_semi").select("sid", "key")
-    return cold.unionByName(jaccard.ties_of(among, jaccard.common_keys(among)))
+    cold = jaccard.ties_of(entries, keys.filter(F.col("n") <= hot_key))
+    held = checkpointed(split_join(entries, keys.filter(F.col("n") > hot_key).select("key", "n"), ["key"]).select("sid").distinct())
+    if held.isEmpty():
+        return cold
+    one = filled.groupBy("sid").agg(F.min(F.struct("th", "doc_id")).alias("d"))
+    members = checkpointed(held.join(one, "sid").select("sid", F.col("d.th").alias("th"), F.col("d.doc_id").alias("least_id")))
+    tokens = checkpointed(tokens_of(docs, members, doc_id, text, size).distinct())
+    return cold.unionByName(prefix_ties(tokens, percent))
 
 
 def classes_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = MIN_PERCENT) -> DataFrame:
@@ -58,8 +98,7 @@ def classes_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     close = texts.join(simhash.components(simhash.links_of(bits.select("fp").distinct())), "fp", "left").select("sid", F.coalesce("root", "fp").alias("bits_root"))
     least = close.groupBy("bits_root").agg(F.min("sid").alias("a"), F.max("sid").alias("most"), F.count(F.lit(1)).alias("n")).filter("a < most").select("bits_root", "a", "n")
     by_bits = split_join(close, least, ["bits_root"]).filter("a < sid").select("a", F.col("sid").alias("b")).distinct()
-    entries = prints.filter("n > 0").select("sid", F.size("keys").alias("own"), F.explode("keys").alias("key"))
-    by_segments = segment_ties(entries)
+    by_segments = segment_ties(docs, prints, doc_id, text, size, percent)
     families = simhash.components(by_bits.unionByName(by_segments).distinct()).select(F.col("fp").alias("sid"), "root")
     links = jaccard.verified_links(docs, prints.filter("n > 0"), families, doc_id, text, size, percent, jaccard.BLOCK_SETS, jaccard.BLOCK_TOKENS)
     roots = simhash.components(links).withColumnRenamed("fp", "sid")

@@ -1,6 +1,6 @@
 import random
 
-from spanloom.llm import neardup
+from spanloom.llm import jaccard, neardup
 
 SCHEMA = "doc_id long, text string, source string, lang string"
 
@@ -60,6 +60,35 @@ def test_recall_of_pairs_just_over_the_limit(spark):
     assert {a for a, _ in pairs} <= kept and sum(b not in kept for _, b in pairs) >= 54
 
 
+def test_copies_that_agree_in_a_crowded_segment_only(spark):
+    """Every set has the same first segment; a copy differs from its original in all the others, below the limit for SimHash."""
+    levels = neardup.Segments(80)
+    level = levels.of(200)[0]
+    n, m = levels.starts[level], levels.segments(level)
+    known, fresh, number = jaccard._Hashes(), {s: [] for s in range(m)}, iter(range(10**9))
+
+    def word(segment):
+        while not fresh[segment]:
+            w = f"q{next(number)}"
+            fresh[int(jaccard.token_set(w.encode(), known, 1)[0]) % m].append(w)
+        return fresh[segment].pop()
+
+    common = [word(0) for _ in range(7)]
+    rows = []
+    for i in range(90):
+        base = {s: [word(s) for _ in range((n - 7) // (m - 1) + (s <= (n - 7) % (m - 1)))] for s in range(1, m)}
+        rows.append((len(rows), " ".join(common + sum(base.values(), [])), "s", "en"))
+        if i % 9 == 0:
+            for s in range(1, m, 2):
+                base[s][0] = word(min(s + 1, m - 1))
+            rows.append((len(rows), " ".join(common + sum(base.values(), [])), "copy", "en"))
+    assert all(len(shingles(r[1], 1)) == n and not levels.of(n)[1] for r in rows)
+    pairs = [(shingles(a[1], 1), shingles(b[1], 1)) for a, b in zip(rows, rows[1:], strict=False) if b[2] == "copy"]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in pairs)
+    kept = neardup.keep_one(spark.createDataFrame(rows, SCHEMA), size=1).collect()
+    assert sorted(r["doc_id"] for r in kept) == [r[0] for r in rows if r[2] == "s"]
+
+
 def test_one_row_of_a_class_stays_whatever_else_differs(spark):
     same = [(1, "a b c d e", "s", None), (1, "a b c d e", None, "s"), (1, "a b c d e", "t", "en"), (1, "a b c d e", "t", "en")]
     rows = same + [(None, "v w x y z", s, "en") for s in ("p", "q", "r", None)] + [(None, "v w x y z", "p", "en")]
