@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import overlap_chars, overlapping_spans
 from ..functions.text import strip
+from ..functions.wordtrie import batched_regexes
 from .candidates import DEFAULT_RULES, rule_classify
-from .match import document_lookup
+from .match import DEFAULT_BATCH, MAX_LOOKUP_TERMS, document_lookup, lexicon_terms
 from .parse import chunk_table
 
 MIN_OVERLAP = 0.5
@@ -164,9 +168,14 @@ def predicted_spans(decided: DataFrame) -> DataFrame:
 
 
 def baseline_audit(documents: DataFrame, lexicon: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
-    """Fixed sequence: chunk, look up, skip chunks without a hit, classify, record flags."""
-    hit = document_lookup(documents, lexicon).select("doc_id", "chunk_idx").distinct()
-    chunks = chunk_table(documents).join(hit, ["doc_id", "chunk_idx"], "left_semi")
+    """Fixed sequence: chunk, look up, skip chunks without a hit, classify, record flags. A vocabulary that is a pattern takes one pass over the texts."""
+    terms = lexicon_terms(lexicon, MAX_LOOKUP_TERMS)
+    chunks = chunk_table(documents)
+    if terms is None:
+        hit = document_lookup(documents, lexicon).select("doc_id", "chunk_idx").distinct()
+        chunks = chunks.join(hit, ["doc_id", "chunk_idx"], "left_semi")
+    else:
+        chunks = chunks.filter(reduce(or_, [F.rlike("text", F.lit(p)) for p in batched_regexes(terms, DEFAULT_BATCH)], F.lit(False)))
     flagged = rule_classify(chunks.select("doc_id", "chunk_idx", "chunk_id", "text"), rules).filter("label = 'flag'")
     return flagged.select(
         "doc_id", "chunk_idx", "chunk_id", F.col("text").alias("span"), "label", F.col("flag_category").alias("category"), "reason",

@@ -5,7 +5,7 @@ from spanloom.functions import ordered as O
 from spanloom.operators import align as A
 from spanloom.operators import evaluate as E
 from spanloom.operators import telemetry as M
-from spanloom.plans import catalog
+from spanloom.plans import catalog, catalog_report, inputs
 from spanloom.sources import corpus as S
 from spanloom.sources import sinks
 from spanloom.streaming import jobs
@@ -94,6 +94,13 @@ def test_highlights_of_pages_without_text_or_page_have_no_place(spark):
     assert out == {(1, 0): (103, 114, ["a"]), (2, 0): (None, None, ["a"]), (3, 0): (None, None, ["b"]), (1, 1): (118, 124, ["b"])}
 
 
+def test_baseline_audit_cuts_the_texts_once(spark):
+    docs = spark.createDataFrame([(1, "A moron here. An oxymoron there. He left the Idiot alone."), (2, None)], "doc_id long, text string")
+    out = E.baseline_audit(docs, inputs.lexicon(spark), inputs.RULES)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.chunk_idx, r.category, r.reason) for r in out.collect()) == [(0, "exclusionary", "contains: moron"), (2, "gendered", "contains: he")]
+
+
 def test_corpus_csv_round_trip_and_ingest(spark, tmp_path):
     rows = [(str(i), "eric", f"D{i}", 'A "title", ok', "abstract", text, "s", "2020", "T", "u", "l") for i, text in enumerate(["one\ntwo", "  ", "three", "four"])]
     df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in S.CORPUS_COLUMNS))
