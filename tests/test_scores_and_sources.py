@@ -101,6 +101,16 @@ def test_baseline_audit_cuts_the_texts_once(spark):
     assert sorted((r.chunk_idx, r.category, r.reason) for r in out.collect()) == [(0, "exclusionary", "contains: moron"), (2, "gendered", "contains: he")]
 
 
+def test_gold_spans_are_placed_once_per_metric(spark, monkeypatch):
+    gold = spark.createDataFrame([(1, 0, 0, 10, ["biased"]), (1, 1, 50, 60, ["outdated"])], "doc_id long, gold_idx int, char_start int, char_end int, labels array<string>")
+    found = spark.createDataFrame([(1, 0, 0, 8, "biased")], "doc_id long, pred_idx int, char_start int, char_end int, category string")
+    calls = []
+    monkeypatch.setattr(catalog_report, "gold", lambda *_: calls.append(1) or gold)
+    monkeypatch.setattr(catalog_report, "predictions", lambda *_: found)
+    rows = catalog.QUERIES["gold_label_recall"](spark, "").collect()
+    assert len(calls) == 1 and sorted((r.label, r.detected, r.total) for r in rows) == [("biased", 1, 1), ("outdated", 0, 1)]
+
+
 def test_corpus_csv_round_trip_and_ingest(spark, tmp_path):
     rows = [(str(i), "eric", f"D{i}", 'A "title", ok', "abstract", text, "s", "2020", "T", "u", "l") for i, text in enumerate(["one\ntwo", "  ", "three", "four"])]
     df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in S.CORPUS_COLUMNS))
