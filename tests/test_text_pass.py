@@ -59,3 +59,43 @@ def test_texts_of_a_search_are_not_dealt_out_by_request(spark):
     assert [r.doc_id for r in out.orderBy("rank").collect()] == [0, 1, 2]
     joins = [line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in line and "[request_id" in line]
     assert joins and all("BroadcastHashJoin" in j for j in joins)
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 8, 9, 63, 64, 65, 513, 4099])
+def test_sums_of_groups(spark, size):
+    from spanloom.functions.spans import offsets_before
+
+    lengths = [i % 7 for i in range(size)]
+    got = spark.createDataFrame([(lengths,)], "x array<int>").select(offsets_before(F.col("x"))).first()[0]
+    assert got == [sum(lengths[:i]) for i in range(size)]
+
+
+def test_words_are_counted_without_making_them(spark):
+    said = ["", " \n ", "a", "  a b\n\nc\u3000", "\u3000x y", "é a", "a\tb\x1cc\x85d", None]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in said], "t string").select(T.word_count(F.col("t"))).collect()]
+    assert got == [0, 0, 1, 3, 2, 2, 4, None]
+    assert "regexp_extract_all" not in spark.range(1).select(T.word_count(F.lit("a b")))._jdf.queryExecution().analyzed().toString()
+
+
+def test_an_audit_of_flagged_documents_has_all_candidates(spark):
+    d = docs(spark)
+    whole = C.audit_documents(d, RULES, window_tokens=20)
+    lean = C.audit_documents(d, RULES, window_tokens=20, context=False, flagged_only=True, tasks=3)
+    few = C.candidates_of(lean)
+    assert rows(few) == rows(C.candidates_of(whole).select(few.columns)) != []
+    assert lean.count() < whole.count()
+    assert not {"sentence_id", "sentence_text", "paragraph_text"} & set(few.columns)
+
+
+def test_windows_are_counted_where_no_word_is_flagged(spark):
+    texts = ["\n\n".join(["# Head", "one two three four five six seven. " * 9, "x y z"] * n) for n in (1, 3, 8)] + ["trash\n\n" + "a b c. " * 99]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    counted = C.audit_documents(d, RULES, window_tokens=20).select("doc_id", "n_windows")
+    assert rows(counted) == rows(P.window_table(d, 20).groupBy("doc_id").count())
+
+
+def test_phrases_as_rules_skip_no_text(spark):
+    rules = (C.Rule("old hand", "gendered", "expert"),)
+    assert C.candidates_of(C.audit_documents(docs(spark), rules, window_tokens=20)).count() == 0
+    d = spark.createDataFrame([(1, "She is an Old hand here.")], "doc_id bigint, text string")
+    assert C.candidates_of(C.audit_documents(d, rules, window_tokens=20)).select("quote").first()[0] == "Old hand"
