@@ -93,3 +93,17 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((len(r["kept"]), len(r["spans"])) for r in suffixes.remove_repeats(docs).collect())
     assert got == [(0, 1), (0, 1), (1, 0), (5, 0)]
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_texts_are_shuffled_once(spark):
+    passage = "".join(random.Random(8).choices("abcdef ", k=700))
+    docs = spark.createDataFrame([(i, f"{i} " * i + passage + f" {i}" * 200) for i in range(20)], "doc_id long, text string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = suffixes.remove_repeats(docs)
+        assert sum(len(r["spans"]) > 0 for r in done.collect()) == 20
+        plan = done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "ReusedExchange" in plan
