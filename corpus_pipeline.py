@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import contamination, language, mixing, neardup, pii
-from spanloom.llm.common import checkpointed, table
+from spanloom.llm.common import checkpointed, small_batches, table
 
 #: Least probability of the predicted language.
 MIN_LANGUAGE_SCORE = 0.5
@@ -18,6 +18,7 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or whose language stays unclear, go. Languages are learned from the labelled documents; without any label, all with letters stay."""
+    small_batches(spark)
     model = language.fit(docs, F.lit(True))
     if not model["classes"]:
         return docs.filter(F.col("text").rlike("\\p{L}"))
@@ -28,17 +29,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays: five-word shingles, similarity of 0.8 or more."""
+    small_batches(spark)
     return neardup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages make up a twentieth or more go."""
+    small_batches(spark)
     found, name = contamination.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
     return found.filter(~contamination.is_contaminated(F.col(name))).drop(name)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; ``n_chars`` follows the text."""
+    small_batches(spark)
     return docs.withColumn("text", pii.redact(F.col("text"))).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -5,6 +5,7 @@ import random
 from hashlib import md5
 
 import corpus_pipeline
+import pyarrow as pa
 from spanloom.llm import mixing
 from test_contamination import brute as brute_hits
 from test_pii import brute as brute_pii
@@ -89,3 +90,16 @@ def test_unlabelled_documents_with_letters_stay(spark):
     docs = spark.createDataFrame([(r[0], r[1], None, r[3], r[4]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, "").collect()}
     assert kept == {r[0] for r in rows} - {300, 301, 302}
+
+
+def test_stages_hand_texts_over_in_small_batches(spark, tmp_path):
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(i, "Some words of this text.") for i in range(1000)], "doc_id long, text string")
+    count = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+    for given, most in ((None, 256), ("100", 100)):
+        spark.conf.unset(conf) if given is None else spark.conf.set(conf, given)
+        try:
+            corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path))
+            assert max(r["n"] for r in docs.coalesce(1).mapInArrow(count, "n long").collect()) == most
+        finally:
+            spark.conf.unset(conf)
