@@ -12,7 +12,9 @@ find differences of up to one token, as then all segments together still admit m
 under each of their segments with any one token left out. A segment with a neighbour that is itself a dropped key finds equality only
 and cannot pay. Keys of which one set cannot pay stay.
 
-**Verification.** Sets under a common key are tied to the smallest one, which gives families without listing pairs. Inside a family
+**Verification.** Sets under a common key are tied to the smallest one, which gives families without listing pairs. Families that a
+shared passage made are first cut by short sketches, which keep every pair within the differences that a link allows, so that only
+sets with a likely link send their tokens. Inside a family
 and level all pairs are compared: the sets are dealt out to blocks of bounded size, every two blocks meet in one unit of work, and a
 unit computes its intersection sizes as a matrix product and returns a spanning forest of its links, not the links. So a group of
 thousands of near copies costs comparisons, but neither rows nor memory grow with its square.
@@ -47,6 +49,8 @@ HOT_KEY = 64
 #: Bounds of a block of sets.
 BLOCK_SETS = 1024
 BLOCK_TOKENS = 1 << 20
+#: A sketch takes less than this share of the memory of its tokens.
+SKETCH_SHARE = 16
 #: Keys or sets (up to 32 bytes each) that are broadcast; beyond it they meet in a shuffle.
 MAX_BROADCAST_ROWS = 100_000
 
@@ -249,12 +253,40 @@ def forest(sets: list[np.ndarray], first: np.ndarray, percent: int, within: bool
             block[row[a:b], column[a:b] % _COLUMNS] = 1
             common += block[left] @ block[right].T
     common = common.astype(np.int64)
-    linked = 100 * common >= percent * (sizes[left][:, None] + sizes[right][None, :] - common)
-    whole = np.zeros((len(sets), len(sets)), bool)
+    return spanning(100 * common >= percent * (sizes[left][:, None] + sizes[right][None, :] - common), left, right, len(sets))
+
+
+def sketch(tokens: np.ndarray, level_size: int, percent: int) -> np.ndarray:
+    """The set size, then for each of a number of bits whether an odd number of tokens fall on it; ``level_size`` and ``percent`` set the number of bits.
+
+    Two sets differ in at least as many tokens as their sketches differ in bits. The bits are four for each difference that a link
+    allows, so sets with twice as many differences are mostly told apart.
+    """
+    bits = 64 * (1 + 4 * (100 - percent) * 2 * level_size // (100 + percent) // 64)
+    odd = np.bincount((_mix(tokens + _U(0x94D049BB133111EB)) % _U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.concatenate((np.array([len(tokens)], np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64))).view(np.uint64)
+
+
+def sketch_forest(sketches: list[np.ndarray], first: np.ndarray, percent: int, within: bool) -> list[tuple[int, int]]:
+    """As :func:`forest`, of the pairs that may be linked as far as sketches of one level tell: all that are linked, and some others."""
+    sizes = np.array([s[0] for s in sketches], np.int64)
+    packed = np.stack([s[1:] for s in sketches]).view(np.uint8)
+    left, right = (np.arange(len(sketches)),) * 2 if within else (np.flatnonzero(first), np.flatnonzero(~first))
+    differ = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, packed.shape[1], _COLUMNS // 8):
+        sign = 1 - 2 * np.unpackbits(packed[:, at : at + _COLUMNS // 8], axis=1).astype(np.float32)
+        differ += (sign.shape[1] - sign[left] @ sign[right].T) / 2
+    most = (100 - percent) * (sizes[left][:, None] + sizes[right][None, :]) // (100 + percent)
+    return spanning(differ <= most, left, right, len(sketches))
+
+
+def spanning(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the rows ``left`` and the columns ``right`` among ``n`` nodes."""
+    whole = np.zeros((n, n), bool)
     whole[np.ix_(left, right)] = linked
     whole |= whole.T
-    new, edges = np.ones(len(sets), bool), []
-    for start in range(len(sets)):
+    new, edges = np.ones(n, bool), []
+    for start in range(n):
         stack = [start] if new[start] else []
         new[start] = False
         while stack:
@@ -266,14 +298,14 @@ def forest(sets: list[np.ndarray], first: np.ndarray, percent: int, within: bool
     return edges
 
 
-def _verify(percent: int):
+def _verify(percent: int, tree=forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held = None, []
 
         def links():
             ids = [h[0] for h in held]
             sets = [h[2] for h in held]
-            edges = forest(sets, np.array([h[1] == unit[2] for h in held]), percent, unit[2] == unit[3]) if len(held) > 1 else []
+            edges = tree(sets, np.array([h[1] == unit[2] for h in held]), percent, unit[2] == unit[3]) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in edges], pa.int64()), pa.array([ids[b] for _, b in edges], pa.int64())], ["a", "b"])
 
         for batch in batches:
@@ -292,19 +324,27 @@ def _verify(percent: int):
     return run
 
 
-def verified_links(docs: DataFrame, prints: DataFrame, families: DataFrame, doc_id: str, text: str, size: int, percent: int, block_sets: int, block_tokens: int) -> DataFrame:
-    """Links ``a, b`` between sets of one family that join all linked sets of it; ``families`` has ``sid, root``."""
+def verified_links(
+    docs: DataFrame, prints: DataFrame, families: DataFrame, doc_id: str, text: str, size: int, percent: int, block_sets: int, block_tokens: int, levels: Levels | None = None
+) -> DataFrame:
+    """Links ``a, b`` between sets of one family that join all linked sets of it; ``families`` has ``sid, root``.
+
+    Where ``levels`` are given, the sets are compared by sketches instead: the links join all linked sets, and some others.
+    """
     one = prints.groupBy("sid").agg(F.min(F.struct("th", "doc_id")).alias("d"), F.first("n").alias("n"), F.first("level").alias("level"), F.first("reach").alias("reach"))
     members = checkpointed(families.join(one, "sid").select("sid", "root", "n", "level", "reach", F.col("d.th").alias("th"), F.col("d.doc_id").alias("least_id")))
     at = F.explode(F.when(F.col("reach"), F.array(F.col("level"), F.col("level") + 1)).otherwise(F.array("level"))).alias("at")
     sizes = members.select("root", "n", at).groupBy("root", "at").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens")).filter("sets > 1").select(
-        "root", "at", F.greatest(F.ceil(F.col("sets") / block_sets), F.ceil(F.col("tokens") / block_tokens)).cast("int").alias("blocks")
+        "root", "at", F.greatest(F.ceil(F.col("sets") / block_sets), F.ceil(F.col("tokens") / (block_tokens * (SKETCH_SHARE if levels else 1)))).cast("int").alias("blocks")
     )
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
-            sets = [token_set(x.as_py() or b"", known, size).view(np.int64) for x in batch.column(0).cast(pa.binary())]
+            sets = [token_set(x.as_py() or b"", known, size) for x in batch.column(0).cast(pa.binary())]
+            if levels:
+                sets = [sketch(s, levels.starts[level + 1] - 1, percent) for s, level in zip(sets, batch.column(3).to_pylist(), strict=True)]
+            sets = [s.view(np.int64) for s in sets]
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], ["sid", "root", "at", "blocks", "tokens"])
@@ -317,7 +357,7 @@ def verified_links(docs: DataFrame, prints: DataFrame, families: DataFrame, doc_
         "root", "at", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "sid", "tokens"
     )
     unit = ["root", "at", "low", "high"]
-    return units.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_verify(percent), "a long, b long").filter("a <> b").distinct()
+    return units.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_verify(percent, sketch_forest if levels else forest), "a long, b long").filter("a <> b").distinct()
 
 
 def jaccard_components(
@@ -340,6 +380,8 @@ def jaccard_components(
     else:
         ties = ties_of(narrow, frequent)
     families = components(ties).select(F.col("fp").alias("sid"), "root")
+    close = verified_links(docs, prints, families, doc_id, text, size, percent, block_sets, block_tokens, levels)
+    families = components(close).select(F.col("fp").alias("sid"), "root")
     links = verified_links(docs, prints, families, doc_id, text, size, percent, block_sets, block_tokens)
     roots = components(links)
     classes = prints.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))

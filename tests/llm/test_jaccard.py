@@ -111,3 +111,22 @@ def test_empty_tables_long_texts_and_further_columns(spark):
     assert got(spark, rows) == [(1, 70_000, 1), (2, 70_001, 1), (3, 1, 3)]
     docs = spark.createDataFrame([(7, "a b c d", 1, 2, 3, 4)], "doc_id long, text string, n long, sid long, key long, root long")
     assert [tuple(r) for r in jaccard.jaccard_components(docs).collect()] == [(7, 2, 7)]
+
+
+def test_sketches_keep_every_link_and_part_most_others():
+    rnd = np.random.default_rng(3)
+    for n, percent in ((30, 90), (300, 90), (300, 80), (3000, 90)):
+        base = rnd.integers(0, 1 << 63, n, np.uint64)
+        passage = base[: n // 2]
+        sets = [base, *[np.unique(np.concatenate((np.delete(base, rnd.integers(0, n, k)), rnd.integers(0, 1 << 63, k, np.uint64)))) for k in (1, n // 50 + 1, n // 25 + 1) for _ in range(5)]]
+        sets += [np.unique(np.concatenate((passage, rnd.integers(0, 1 << 63, n - len(passage), np.uint64)))) for _ in range(40)]
+        first = np.arange(len(sets)) % 2 == 0
+        sketches = [jaccard.sketch(s, n + n // 5, percent) for s in sets]
+        for within in (True, False):
+            root = list(range(len(sets)))
+            for a, b in jaccard.sketch_forest(sketches, first, percent, within):
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+            for a, b in jaccard.forest(sets, first, percent, within):
+                assert root[a] == root[b]
+            assert sum(r == i for i, r in enumerate(root)) > 30  # those that only share the passage stay apart
+        assert n < 300 or max(len(s) for s in sketches) * 8 <= n
