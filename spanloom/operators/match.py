@@ -13,6 +13,7 @@ from ..functions.text import escape_literal, word_regex
 from ..functions.wordtrie import batched_regexes
 from .lexicon import condition_of, note_with_condition
 from .parse import chunk_table
+from .reading import plain, terms_in_chunks
 
 DEFAULT_BATCH = 500
 #: Vocabularies up to these numbers of terms are patterns of the plan; larger ones are automata in the tasks.
@@ -154,8 +155,15 @@ def lexicon_lookup(chunks: DataFrame, lexicon: DataFrame, max_terms: int = MAX_L
     return rows.join(broadcast_if_small(entry, MAX_LOOKUP_TERMS), "term")
 
 
-def document_lookup(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
-    return lexicon_lookup(chunk_table(documents), lexicon)
+def document_lookup(documents: DataFrame, lexicon: DataFrame, max_terms: int = MAX_LOOKUP_TERMS) -> DataFrame:
+    """:func:`lexicon_lookup` in the chunks of documents. ASCII terms are looked for in whole texts, so no chunk is made into a row."""
+    terms = lexicon_terms(lexicon, max_terms=max_terms)
+    if terms is None or not plain(terms):
+        return lexicon_lookup(chunk_table(documents), lexicon, max_terms)
+    entry = lexicon_entries(lexicon).select(
+        "term", "category", "alternatives", note_with_condition(F.col("note"), F.col("condition")).alias("note")
+    )
+    return terms_in_chunks(documents, terms).join(broadcast_if_small(entry, MAX_LOOKUP_TERMS), "term")
 
 
 def joined_lexicon_hits(documents: DataFrame, lexicon: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
