@@ -40,6 +40,12 @@ def lexicon_entries(lexicon: DataFrame) -> DataFrame:
     return low.groupBy("term").agg(first.alias("__e")).select("term", "__e.*")
 
 
+def hint_entries(lexicon: DataFrame) -> dict[str, tuple[str, list[str], str]]:
+    """What hints show of each entry: category, alternatives, condition. For vocabularies whose terms the driver holds already, see :func:`lexicon_terms`."""
+    note = note_with_condition(F.col("note"), F.col("condition"))
+    return {r[0]: tuple(r[1:]) for r in lexicon_entries(lexicon).select("term", "category", "alternatives", condition_of(note)).collect()}
+
+
 def hit_array(text: Column, terms: list[str], batch_size: int = DEFAULT_BATCH) -> Column:
     """Matches of the vocabulary: array of (char_start, char_end, text), sorted by start.
 
@@ -233,13 +239,25 @@ PROMPT_TERMS = "Terms of the lexicon in this passage:"
 
 def audit_prompts(windows: DataFrame, hints: DataFrame) -> DataFrame:
     """One prompt per window: the task, a numbered line per hint, then the passage with its section."""
-    instead = F.when(F.size("alternatives") > 0, F.concat(F.lit(" | instead: "), F.array_join("alternatives", " / "))).otherwise("")
-    only = F.when(F.col("condition") != "", F.concat(F.lit(" | only "), "condition")).otherwise("")
-    line = F.concat(F.col("rank").cast("string"), F.lit(". "), "term", F.lit(" ["), "category", F.lit("] x"), F.col("hit_count").cast("string"), instead, only)
-    per_window = hints.groupBy("doc_id", "window_idx").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
-    terms = F.concat(F.lit(PROMPT_TERMS + "\n"), F.array_join(F.col("lines")["line"], "\n"), F.lit("\n"))
-    source = F.when(F.col("heading_path") != "", F.concat(F.lit(' from "'), "heading_path", F.lit('"'))).otherwise("")
-    prompt = F.concat(
-        F.lit(PROMPT_TASK + "\n"), F.coalesce(terms, F.lit("")), F.lit("\nPassage"), source, F.lit(":\n<passage>\n"), "text", F.lit("\n</passage>\n")
-    )
+    per_window = hints.groupBy("doc_id", "window_idx").agg(F.array_sort(F.collect_list(F.struct("rank", _hint_line(F.col).alias("line")))).alias("lines"))
+    prompt = _window_prompt(F.array_join(F.col("lines")["line"], "\n"))
     return windows.join(per_window, ["doc_id", "window_idx"], "left").select("doc_id", "window_idx", prompt.alias("prompt"))
+
+
+def hinted_prompts(windows: DataFrame) -> DataFrame:
+    """As :func:`audit_prompts`, for windows that have their ``hints`` with them: nothing is joined."""
+    lines = F.transform("hints", lambda h: _hint_line(lambda n: h[n]))
+    prompt = _window_prompt(F.when(F.size("hints") > 0, F.array_join(lines, "\n")))
+    return windows.select("doc_id", "window_idx", prompt.alias("prompt"))
+
+
+def _hint_line(of) -> Column:
+    instead = F.when(F.size(of("alternatives")) > 0, F.concat(F.lit(" | instead: "), F.array_join(of("alternatives"), " / "))).otherwise("")
+    only = F.when(of("condition") != "", F.concat(F.lit(" | only "), of("condition"))).otherwise("")
+    return F.concat(of("rank").cast("string"), F.lit(". "), of("term"), F.lit(" ["), of("category"), F.lit("] x"), of("hit_count").cast("string"), instead, only)
+
+
+def _window_prompt(lines: Column) -> Column:
+    terms = F.concat(F.lit(PROMPT_TERMS + "\n"), lines, F.lit("\n"))
+    source = F.when(F.col("heading_path") != "", F.concat(F.lit(' from "'), "heading_path", F.lit('"'))).otherwise("")
+    return F.concat(F.lit(PROMPT_TASK + "\n"), F.coalesce(terms, F.lit("")), F.lit("\nPassage"), source, F.lit(":\n<passage>\n"), "text", F.lit("\n</passage>\n"))

@@ -36,6 +36,8 @@ LIVE_ACTION = 'action "live_search" with phrases, any_of and min_year, '
 NOTE_INVALID = "The last reply named no action that can be taken."
 NOTE_NO_LIVE = "There is no live search in this run."
 NOTE_PREMATURE = "A phrase cannot be confirmed before a source was looked for."
+#: Keys of failed replies that are broadcast.
+MAX_BROADCAST_FAILED = 100_000
 #: Query texts with their few sources that are broadcast.
 MAX_BROADCAST_QUERIES = 10_000
 
@@ -48,19 +50,22 @@ class Turns(NamedTuple):
 
 
 def ask_twice(prompts: DataFrame, complete: Complete, keys: Sequence[str], repair: str | None = REPAIR) -> DataFrame:
-    """Columns of ``prompts`` (without the prompt), ``raw``, and ``repaired``: replies without a JSON object are asked for once more.
+    """Columns of ``prompts`` (without the prompt), ``raw``, ``reply`` (its JSON object or null), and ``repaired``: replies without a JSON object are asked for once more.
 
     The second round gets the failed rows only, with ``repair`` behind their prompt. Both rounds are written before they are read.
     """
-    first = cut_lineage(call_model(prompts, complete).drop("prompt")).withColumn("repaired", F.lit(False))
-    if repair is None:
-        return first
-    failed = first.filter(response_object(F.col("raw")).isNull())
-    if failed.isEmpty():
+
+    def ask(asked: DataFrame) -> DataFrame:
+        return cut_lineage(call_model(asked, complete).drop("prompt").withColumn("reply", response_object(F.col("raw"))))
+
+    first = ask(prompts).withColumn("repaired", F.lit(False))
+    failed = first.filter("reply IS NULL")
+    if repair is None or failed.isEmpty():
         return first
-    again = prompts.join(failed.select(*keys), list(keys), "left_semi").withColumn("prompt", F.concat("prompt", F.lit(repair)))
-    second = cut_lineage(call_model(again, complete).drop("prompt")).withColumn("repaired", F.lit(True))
-    return first.join(failed.select(*keys), list(keys), "left_anti").unionByName(second)
+    # The failed rows are few columns, so where they are few rows as well no prompt is dealt out to meet them.
+    ids = broadcast_if_small(failed.select(*keys), MAX_BROADCAST_FAILED)
+    second = ask(prompts.join(ids, list(keys), "left_semi").withColumn("prompt", F.concat("prompt", F.lit(repair)))).withColumn("repaired", F.lit(True))
+    return first.filter("reply IS NOT NULL").unionByName(second)
 
 
 def turn_prompt(live_available: bool, max_turns: int = MAX_TURNS) -> Column:
@@ -81,7 +86,7 @@ def turn_prompt(live_available: bool, max_turns: int = MAX_TURNS) -> Column:
 
 def _step(answered: DataFrame, turn: int, max_turns: int, live_available: bool) -> DataFrame:
     """What the reply of each open candidate does: ``taken`` (its action), ``final``, ``capped`` and the note for the next turn."""
-    out = answered.withColumn("said", F.from_json(response_object(F.col("raw")), ACTION))
+    out = answered.withColumn("said", F.from_json("reply", ACTION)).drop("reply")
     name = F.coalesce("said.action", F.lit(""))
     finalize, live = name == "finalize", name == "live_search"
     ungrounded = finalize & F.coalesce(F.col("said.verdict") == "confirmed", F.lit(False)) & (F.size("evidence") <= 0)
@@ -105,11 +110,13 @@ def _corpus_found(queries: DataFrame, vectors: DataFrame, k: int, dim: int) -> D
 
 def _gather(state: DataFrame, vectors: DataFrame, live: DataFrame | None, k: int, dim: int) -> DataFrame:
     """Carry out the searches of a turn; sources that a candidate does not have yet are added, numbered on."""
-    asked = state.filter("taken = 'corpus_search'").withColumn("query", F.coalesce("said.query", F.lit("")))
+    taken = {r[0] for r in state.select("taken").distinct().collect()}
     parts = [state.filter("taken NOT IN ('corpus_search', 'live_search')").withColumn("fresh", F.array().cast(EVIDENCE))]
-    found = cut_lineage(_corpus_found(asked.select("query").distinct(), vectors, k, dim))
-    parts.append(asked.join(broadcast_if_small(found, MAX_BROADCAST_QUERIES), "query", "left").drop("query"))
-    if live is not None:
+    if "corpus_search" in taken:
+        asked = state.filter("taken = 'corpus_search'").withColumn("query", F.coalesce("said.query", F.lit("")))
+        found = cut_lineage(_corpus_found(asked.select("query").distinct(), vectors, k, dim))
+        parts.append(asked.join(broadcast_if_small(found, MAX_BROADCAST_QUERIES), "query", "left").drop("query"))
+    if "live_search" in taken:
         none = F.array().cast("array<string>")
         wanted = state.filter("taken = 'live_search'").withColumn(
             "request", F.struct(F.coalesce("said.phrases", none).alias("phrases"), F.coalesce("said.any_of", none).alias("any_of"), F.col("said.min_year").alias("min_year"))

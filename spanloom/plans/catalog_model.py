@@ -143,7 +143,7 @@ def _investigator(prompts: list[str]) -> list[str]:
 
 
 def _turns(spark, sf, **options):
-    read = read_once(spark, sf)
+    read = read_once(spark, sf, flagged_only=True)
     context = C.candidate_context(C.candidates_of(read.audited), read.hits)
     return U.investigate_turns(context, evidence_vectors(spark, sf), _investigator, live=ladder_corpus(spark, sf), **options)
 

@@ -5,10 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.operators import candidates as C
 from spanloom.operators import match as M
 from spanloom.operators import parse as P
 from spanloom.operators import reading as R
-from spanloom.plans.inputs import LEXICON, lexicon
+from spanloom.plans.inputs import LEXICON, RULES, lexicon
 
 TERMS = [e[0] for e in LEXICON]
 PARTS = (
@@ -52,3 +53,70 @@ def test_terms_that_could_reach_over_a_chunk(spark, docs, lexicon):
     got = M.document_lookup(d, plain)
     assert "MapInArrow" in plan(got)
     assert rows(got) == rows(M.lexicon_lookup(P.chunk_table(d), plain).select(got.columns)) != []
+
+
+@pytest.mark.parametrize("tokens", [20, 200])
+def test_windows_hits_and_hints(spark, odd, tokens):
+    g, lex = P.guard_english(P.guard_nonempty(odd)).select("doc_id", "text"), lexicon(spark)
+    got = R.read_texts(g, window_tokens=tokens, windows=True, window_texts=True, terms=TERMS, entries=M.hint_entries(lex)).cache()
+    windows = got.select("doc_id", F.inline("windows"))
+    want = P.window_table(g, tokens).drop("block_idxs")
+    assert rows(windows.select(want.columns)) == rows(want) != []
+    hits = M.lexicon_hits(g, lex)
+    assert rows(M.hits_of_column(got, lex)) == rows(hits) != []
+    hints = M.window_hints(hits, want)
+    assert rows(windows.select("doc_id", "window_idx", F.inline("hints")).select(hints.columns)) == rows(hints) != []
+    assert rows(M.hinted_prompts(windows)) == rows(M.audit_prompts(want, hints))
+
+
+@pytest.mark.parametrize("tokens", [20, 200])
+def test_candidates_of_rules(spark, odd, tokens, monkeypatch):
+    got = C.audit_documents(odd, RULES, window_tokens=tokens).cache()
+    assert "MapInArrow" in plan(C.audit_documents(odd, RULES, window_tokens=tokens))
+    monkeypatch.setattr(C, "read_in_python", lambda rules: False)
+    want = C.audit_documents(odd, RULES, window_tokens=tokens).cache()
+    assert rows(got.drop("candidates")) == rows(want.drop("candidates"))
+    assert rows(C.candidates_of(got)) == rows(C.candidates_of(want).select(C.candidates_of(got).columns)) != []
+
+
+def test_large_vocabularies_use_an_automaton():
+    terms = [e for e in TERMS] + [f"zz{i}" for i in range(R.FEW_TERMS)] + ["the the", "e.g", "g."]
+    few, many = R.Vocabulary(TERMS + ["the the", "e.g", "g."], 500), R.Vocabulary(terms, 500)
+    assert few.automaton is None and many.automaton is not None
+    for text in odd_texts():
+        if text:
+            low = R.lower_ascii(text)
+            assert few.spans(text, low) == many.spans(text, low)
+
+
+def test_a_models_prompts_meet_no_other_table(spark):
+    from spanloom.plans.audit import text_pass
+
+    read = text_pass(spark.createDataFrame([(1, "He said the trash of the town.")], "doc_id bigint, text string"), lexicon(spark), None, window_tokens=20, window_texts=True, hints=True)
+    assert read.hinted and "Join" not in plan(M.hinted_prompts(read.windows))
+
+
+def test_replies_are_parsed_once(spark):
+    from spanloom.operators.turns import ask_twice
+
+    prompts = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, prompt string")
+    said = C.parse_responses(ask_twice(prompts, lambda ps: ['{"x": 1}' if p == "a" else "no" for p in ps], ["doc_id"]))
+    assert "response" not in plan(said) and "EvalPython" not in plan(said)
+    assert rows(said.select("doc_id", "reply", "repaired", "parse_failed")) == [("1", '{"x": 1}', "False", "False"), ("2", "None", "True", "True")]
+
+
+def test_candidates_are_dealt_out_once(spark, odd):
+    found = C.candidates_of(C.audit_documents(odd, RULES, window_tokens=20).localCheckpoint())
+    found.collect()
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange") == 1
+
+
+def test_texts_of_a_search_are_not_dealt_out(spark):
+    from spanloom.operators.retrieval import search_ladder
+
+    made = [(i, f"t{i}", "a word here" + " and there" * 50, "T", "2020") for i in range(40)]
+    corpus = spark.createDataFrame(made, "doc_id long, title string, description string, peerreviewed string, year string")
+    out = search_ladder([{"request_id": 1, "phrases": ["word"], "any_of": [], "min_year": None}], corpus)
+    assert [(r["rank"], len(r.description_text)) for r in out.orderBy("rank").collect()] == [(1, 511), (2, 511), (3, 511)]
+    held = plan(out)
+    assert held.count("LeftSemi") == 1  # the corpus is cut down to the best before its texts meet anything
