@@ -57,7 +57,7 @@ def _asked(spark, sf):
 
 
 def _audited(spark, sf, parsed):
-    return cut_lineage(C.audit_replies(documents(spark, sf), parsed, window_tokens=WINDOW_TOKENS, expand=False))
+    return cut_lineage(C.audit_replies(documents(spark, sf), parsed, window_tokens=WINDOW_TOKENS, expand=False, context=False))
 
 
 @query(
