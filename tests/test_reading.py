@@ -120,3 +120,56 @@ def test_texts_of_a_search_are_not_dealt_out(spark):
     assert [(r["rank"], len(r.description_text)) for r in out.orderBy("rank").collect()] == [(1, 511), (2, 511), (3, 511)]
     held = plan(out)
     assert held.count("LeftSemi") == 1  # the corpus is cut down to the best before its texts meet anything
+
+
+def test_replies_are_audited_without_context(spark):
+    d = spark.createDataFrame([(1, "He said the trash of the town."), (2, "Nothing here.")], "doc_id bigint, text string")
+    replies = spark.createDataFrame([(1, 0, '{"candidates": [{"quote": "the  trash", "category": "biased"}, {"quote": "not there"}]}')], "doc_id bigint, window_idx int, raw string")
+    parsed = C.parse_responses(replies)
+    whole, lean = C.audit_replies(d, parsed, window_tokens=20), C.audit_replies(d, parsed, window_tokens=20, expand=False, context=False)
+    assert rows(lean.drop("candidates")) == rows(whole.drop("candidates")) == [("1", "1", "2", "1", "0"), ("2", "1", "0", "0", "0")]
+    few = C.candidates_of(lean)
+    assert rows(few) == rows(C.candidates_of(whole).select(few.columns)) != []
+    assert not {"sentence_text", "expanded"} & set(few.columns)
+
+
+def test_hints_of_a_model_are_not_joined_by_offset(spark):
+    from spanloom.plans.audit import ask_model
+
+    d = spark.createDataFrame([(1, "He said the trash of the town."), (2, "An idiot.")], "doc_id bigint, text string")
+    asked = ask_model(d, lexicon(spark), lambda prompts: ["{}"] * len(prompts), window_tokens=20)
+    assert "Join" not in plan(asked.hints)
+    assert rows(asked.hints.select("doc_id", "term", "rank"))[0] == ("1", "he", "1")
+
+
+def test_candidates_get_their_evidence_where_they_are(spark):
+    from spanloom.operators.investigate import with_evidence
+
+    vectors = spark.createDataFrame(
+        [(1, 1, [1.0] * 64, "a", "t", ("s", "a", "t", "2020", "u"))],
+        "id long, ord long, embedding array<double>, doc_key string, text string, metadata struct<source:string,doc_id:string,title:string,year:string,url:string>",
+    )
+    cands = spark.createDataFrame([(1, "cand0000", "He", "gendered"), (2, "cand0000", "", "")], "doc_id bigint, cand_id string, quote string, category string")
+    got = with_evidence(cands, vectors)
+    assert sorted((r.doc_id, len(r.evidence)) for r in got.collect()) == [(1, 1), (2, 1)]
+    assert "hashpartitioning(doc_id" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_other_places_of_a_phrase_are_kept_once(spark):
+    d = spark.createDataFrame([(1, "\n\n".join(["He saw the trash. " * 5] * 9))], "doc_id bigint, text string")
+    audited = C.audit_documents(d, RULES, window_tokens=20)
+    kept = [c for c in audited.first().candidates if c.expanded is not None]
+    assert len(audited.first().candidates) > 2 and sorted(c.quote for c in kept) == ["He", "trash"]
+    assert [(r.quote, len(r.expanded)) for r in C.candidates_of(audited).orderBy("quote").collect()] == [("He", 90), ("trash", 45)]
+
+
+@pytest.mark.parametrize("name", ["report_summary", "verdict_policy"])
+def test_a_report_deals_out_no_texts(spark, monkeypatch, name):
+    from spanloom.plans import audit, catalog
+    from spanloom.sources import corpus
+
+    seen = []
+    monkeypatch.setattr(corpus, "SMALL_INPUT", 0)
+    monkeypatch.setattr(audit, "cut_lineage", lambda df: seen.append(plan(df)) or df.localCheckpoint())
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" in seen[0] and "Repartition" not in seen[0]
